@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.llm.curriculum import OP5_SQL, op5_curriculum
 from gleaner.llm.line_dedup import op8_line_dedup
+from gleaner.llm.pieces import op6_sentencepiece
 from gleaner.llm.simhash import op10_simhash_near_dedup
+from gleaner.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op5_curriculum": op5_curriculum,
+    "op6_sentencepiece": op6_sentencepiece,
     "op8_line_dedup": op8_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_curriculum": OP5_SQL}
