@@ -12,6 +12,7 @@ Wider blocks make fewer chance candidates: a corpus of billions wants ``words=16
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -102,13 +103,19 @@ def _distance(a: str, b: str, words: int) -> Column:
 
 
 def near_pairs(prints: DataFrame, words: int = WORDS, per_word: int = PER_WORD, max_share: float = MAX_SHARE) -> DataFrame:
-    """``(a, b, distance)`` for the pairs a < b of rows ``(rep, f0, ...)`` that share a block and
-    differ in at most ``max_share`` of the bits. Every row is compared with all that share a
-    block with it, however many."""
+    """``(a, b, distance)`` for the pairs a < b of rows ``(rep, f0, ...)``, rep a number, that share
+    a block and differ in at most ``max_share`` of the bits. Every row is compared with all that
+    share a block with it, however many.
+
+    Each block goes with the next word of its fingerprint. Where these differ in over five standard
+    deviations more bits than words of a pair at the threshold do, the pair is dropped inside the
+    join: of pairs at the threshold fewer than one in a million, of pairs that met by chance most."""
     width = 63 // per_word
-    keys = [F.shiftright(f"f{k}", width * j).bitwiseAND(F.lit((1 << width) - 1)) + F.lit((k * per_word + j) << width).cast("long") for k in range(words) for j in range(per_word)]
-    blocks = prints.select("rep", F.explode(F.array(*keys)).alias("block"))
-    meet = blocks.alias("x").join(blocks.alias("y"), "block").where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    keys = [F.struct((F.shiftright(f"f{k}", width * j).bitwiseAND(F.lit((1 << width) - 1)) + F.lit((k * per_word + j) << width).cast("long")).alias("block"), F.col(f"f{(k + 1) % words}").alias("sketch")) for k in range(words) for j in range(per_word)]
+    blocks = prints.select("rep", F.explode(F.array(*keys)).alias("k")).select("rep", "k.block", "k.sketch")
+    most = math.ceil(63 * max_share + 5 * math.sqrt(63 * max_share * (1 - max_share)))
+    meet = blocks.alias("x").join(blocks.alias("y"), "block").where("x.rep < y.rep").where(F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= most)
+    meet = meet.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     near = meet.join(prints.alias("p"), F.col("a") == F.col("p.rep")).join(prints.alias("q"), F.col("b") == F.col("q.rep"))
     return near.select("a", "b", _distance("p", "q", words).alias("distance")).where(F.col("distance") <= int(max_share * words * width * per_word))
 
@@ -120,15 +127,18 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Null, empty and blank texts and null ids are groups of their own and stay. Rows with the same
     id and text are one document; rows with the same id and different texts are ordered by a hash
     of the text. Equal fingerprints fall together before any pairs are made, so a group of any
-    number of exact copies costs one row."""
-    marks = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    number of exact copies costs one row. Such rows get numbers, which are kept by writing them."""
     names = [f"f{k}" for k in range(words)]
+    marks = written(fingerprints(docs, id_col, text_col, words).withColumn("all", F.xxhash64(*names)), "fingerprints")
     some = marks.where("id is not null and f0 is not null")
     key = F.struct("id", "th")
-    prints = written(some.groupBy(*names).agg(F.min(key).alias("rep")), "distinct-fingerprints")
+    firsts = some.groupBy("f0", "all").agg(F.min(key).alias("first"), *[F.first(n).alias(n) for n in names[1:]])
+    prints = written(firsts.withColumn("rep", F.monotonically_increasing_id()), "distinct-fingerprints")
     roots = connected_components(near_pairs(prints, words, per_word, max_share))
-    reps = prints.join(roots, F.col("rep") == F.col("node"), "left").select(*names, F.coalesce("root", "rep").alias("root"))
-    grouped = some.join(reps, names).select("id", "th", F.col("root.id").alias("group_id"), (key == F.col("root")).alias("keep"))
+    inside = roots.join(prints.select(F.col("rep").alias("node"), "first"), "node")
+    leads = inside.join(inside.groupBy("root").agg(F.min("first").alias("lead")), "root").select(F.col("node").alias("rep"), "lead")
+    reps = prints.select("f0", "all", "rep", "first").join(leads, "rep", "left").select("f0", "all", F.coalesce("lead", "first").alias("lead"))
+    grouped = some.select("id", "th", "f0", "all").join(reps, ["f0", "all"]).select("id", "th", F.col("lead.id").alias("group_id"), (key == F.col("lead")).alias("keep"))
     alone = marks.where("id is null or f0 is null").select("id", "th", F.col("id").alias("group_id"), F.lit(True).alias("keep"))
     return grouped.unionByName(alone)
 
