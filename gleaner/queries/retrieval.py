@@ -216,16 +216,16 @@ win AS (SELECT wal_entry_id, n, k * 192 AS a, least(k * 192 + 384, n) AS b FROM
 we AS (SELECT win.wal_entry_id, a, b, byte_start, byte_end, group_id, term_id, weight, is_anchor FROM win JOIN ev ON ev.wal_entry_id = win.wal_entry_id AND byte_start < b AND byte_end > a),
 term AS (SELECT wal_entry_id, a, group_id, term_id, max(weight) * max(idf) * (1 - exp(-count(*) / 1.5)) AS m, max(idf) AS idf FROM we JOIN idf USING (term_id) GROUP BY ALL),
 mass AS (SELECT wal_entry_id, a, group_id, sum(m) AS m FROM (SELECT wal_entry_id, a, group_id, m FROM term UNION ALL SELECT wal_entry_id, a, group_id, weight FROM we WHERE term_id IS NULL) GROUP BY ALL),
-ctr AS (SELECT wal_entry_id, a, group_id, arg_max((byte_start + byte_end) / 2.0, struct_pack(w := weight, s := -byte_start, e := -byte_end)) AS c, max(CAST(is_anchor AS INTEGER)) AS anc FROM we GROUP BY ALL),
-g AS (SELECT mass.*, 1 - exp(-m / 1.2) AS v, c, anc, imp FROM mass JOIN ctr USING (wal_entry_id, a, group_id) JOIN grp USING (group_id)),
+ctr AS (SELECT wal_entry_id, a, group_id, arg_max((byte_start + byte_end) / 2.0, struct_pack(w := weight, s := -byte_start, e := -byte_end)) AS c, max(CAST(is_anchor AS INTEGER)) AS anc, max(weight) AS w FROM we GROUP BY ALL),
+g AS (SELECT mass.*, 1 - exp(-m / 1.2) AS v, w, c, anc, imp FROM mass JOIN ctr USING (wal_entry_id, a, group_id) JOIN grp USING (group_id)),
 base AS (SELECT wal_entry_id, a, sum(imp * v) + 0.55 * sum(imp) / (SELECT sum(imp) FROM grp) AS s FROM g GROUP BY ALL),
 pen AS (SELECT wal_entry_id, a, sum(0.25 * m * (1 - idf)) AS p FROM term GROUP BY ALL),
-prox AS (SELECT wal_entry_id, a, sum(x) AS x FROM (SELECT g1.wal_entry_id, g1.a, sqrt(g1.v * g2.v) * exp(-abs(g1.c - g2.c) / 96) AS x FROM g g1 JOIN g g2 ON g1.wal_entry_id = g2.wal_entry_id AND g1.a = g2.a AND g1.group_id < g2.group_id
-  QUALIFY row_number() OVER (PARTITION BY g1.wal_entry_id, g1.a ORDER BY sqrt(g1.v * g2.v) * exp(-abs(g1.c - g2.c) / 96) DESC) <= 6) GROUP BY ALL),
-seq AS (SELECT g1.wal_entry_id, g1.a, sum(sqrt(g1.v * g2.v) * exp(-(g2.c - g1.c) / 64)) AS o FROM ord JOIN g g1 ON g1.group_id = ga JOIN g g2 ON g2.group_id = gb AND g1.wal_entry_id = g2.wal_entry_id AND g1.a = g2.a
+prox AS (SELECT wal_entry_id, a, sum(x) AS x FROM (SELECT g1.wal_entry_id, g1.a, sqrt(g1.w * g2.w) * exp(-abs(g1.c - g2.c) / 96) AS x FROM g g1 JOIN g g2 ON g1.wal_entry_id = g2.wal_entry_id AND g1.a = g2.a AND g1.group_id < g2.group_id
+  QUALIFY row_number() OVER (PARTITION BY g1.wal_entry_id, g1.a ORDER BY sqrt(g1.w * g2.w) * exp(-abs(g1.c - g2.c) / 96) DESC) <= 6) GROUP BY ALL),
+seq AS (SELECT g1.wal_entry_id, g1.a, sum(sqrt(g1.w * g2.w) * exp(-(g2.c - g1.c) / 64)) AS o FROM ord JOIN g g1 ON g1.group_id = ga JOIN g g2 ON g2.group_id = gb AND g1.wal_entry_id = g2.wal_entry_id AND g1.a = g2.a
   WHERE g1.anc = 1 AND g2.anc = 1 AND g2.c >= g1.c GROUP BY ALL),
 cnt AS (SELECT wal_entry_id, a, b, CAST(count(*) AS INTEGER) AS n_events FROM we GROUP BY ALL HAVING bool_or(is_anchor)),
-sc AS (SELECT wal_entry_id, a AS window_start, b AS window_end, ((s + 0.35 * coalesce(x, 0) + 0.22 * coalesce(o, 0) - coalesce(p, 0)) * pow(512.0 / greatest(b - a, 128), 0.15)) AS score, n_events
+sc AS (SELECT wal_entry_id, a AS window_start, b AS window_end, (greatest(0, s + 0.35 * coalesce(x, 0) + 0.22 * coalesce(o, 0) - coalesce(p, 0)) * pow(512.0 / greatest(b - a, 128), 0.15)) AS score, n_events
   FROM cnt JOIN base USING (wal_entry_id, a) LEFT JOIN pen USING (wal_entry_id, a) LEFT JOIN prox USING (wal_entry_id, a) LEFT JOIN seq USING (wal_entry_id, a))"""
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import fnmatch
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,19 +53,27 @@ def ignores(patterns: list[str], path: str) -> bool:
 
 
 def directory(spark: SparkSession, root: str, skip: tuple[str, ...] = (".git", ".index"), gitignore: bool = True) -> DataFrame:
-    """``(source_path, content, mtime, size)`` of all files below a folder, hidden ones too. Bytes
-    that aren't UTF-8 become replacement characters. Ignore rules are judged by path, before contents are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = "file:" + os.path.abspath(root).rstrip("/") + "/" if "://" not in root else root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.col("path"), F.lit(r"^file:/+"), F.lit("file:/")).substr(F.lit(len(base) + 1), F.lit(1 << 20))
-    out = files.select(rel.alias("source_path"), F.expr("make_valid_utf8(CAST(content AS STRING))").alias("content"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    for name in skip:
-        out = out.where(~F.concat(F.lit("/"), F.col("source_path")).contains(f"/{name}/"))
-    patterns = _ignored(root) if gitignore and "://" not in root else []
-    if patterns:
-        judged = F.udf(lambda p: ignores(patterns, p), "boolean")
-        out = out.where(~judged("source_path"))
-    return out
+    """``(source_path, content, mtime, size)`` of all files below a folder, hidden ones too, which
+    Spark's own file sources leave out. Bytes that aren't UTF-8 become replacement characters. The
+    driver lists names and judges the ignore rules; contents are read by the tasks."""
+    system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
+    patterns = _ignored(base) if gitignore and isinstance(system, fs.LocalFileSystem) else []
+    rows = []
+    for f in system.get_file_info(fs.FileSelector(base, recursive=True)):
+        name = f.path[len(base) :].lstrip("/")
+        if f.type == fs.FileType.File and not set(skip) & set(name.split("/")) and not ignores(patterns, name):
+            rows.append((name, f.path, f.mtime, f.size))
+    files = spark.createDataFrame(rows, "source_path string, place string, mtime timestamp, size bigint")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for k, place in enumerate(batch.column("place").to_pylist()):
+                with system.open_input_stream(place, compression=None) as stream:
+                    text = stream.read().decode("utf-8", "replace")
+                one = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([one.column(0), pa.array([text]), one.column(2), one.column(3)], names=["source_path", "content", "mtime", "size"])
+
+    return files.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(batches, "source_path string, content string, mtime timestamp, size bigint")
 
 
 def recover_metadata(lines: DataFrame, content_bytes: int) -> DataFrame:
