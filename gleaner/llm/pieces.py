@@ -31,9 +31,10 @@ from gleaner.llm.common import col
 MODEL = os.environ.get("GLEANER_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 _SHIFT = 21
-_NONE = np.iinfo(np.int32).max
+_FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_NONE = int(np.iinfo(np.int32).max)
 _RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 300_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -44,6 +45,24 @@ def _each_byte(error: UnicodeError) -> tuple[str, int]:
 codecs.register_error("gleaner-each-byte", _each_byte)
 
 
+def _cuckoo(keys: np.ndarray) -> tuple[int, list[np.ndarray]]:
+    """Two tables of places in ``keys``, of which one has each key where its hash points."""
+    bits = max(4, (4 * len(keys)).bit_length())
+    where = [((keys.view(np.uint64) * f) >> np.uint64(64 - bits)).tolist() for f in _FACTORS]
+    slots: list[list[int]] = [[-1] * (1 << bits) for _ in _FACTORS]
+    for k in range(len(keys)):
+        side, item = 0, k
+        for _ in range(500):
+            at = where[side][item]
+            item, slots[side][at] = slots[side][at], item
+            if item < 0:
+                break
+            side = 1 - side
+        else:
+            raise ValueError("the pairs don't fit the tables")
+    return bits, [np.maximum(np.array(s, np.int32), 0) for s in slots]
+
+
 class PieceModel:
     """The pairs that a model file's pieces can be merged from, by rank, and a cache of words."""
 
@@ -67,7 +86,7 @@ class PieceModel:
                 self.byte_id[int(p.piece[1:-1], 16)] = k
         #: Letters without a piece have symbols of their own, beyond the ids.
         self.beyond = len(all_pieces)
-        self.symbol = np.arange(0x110000, dtype=np.int64) + self.beyond
+        self.symbol = np.arange(0x110000, dtype=np.int32) + self.beyond
         symbols = dict(normal)
         for c in {c for p in normal for c in p}:
             symbols.setdefault(c, self.beyond + ord(c))
@@ -75,11 +94,14 @@ class PieceModel:
         ranks = {s: k for k, s in enumerate(sorted({all_pieces[i].score for i in normal.values()}, reverse=True))}
         pairs = sorted((symbols[p[:k]] << _SHIFT | symbols[p[k:]], i, ranks[all_pieces[i].score]) for p, i in normal.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols)
         self.keys = np.array([p[0] for p in pairs], np.int64)
-        self.made = np.array([p[1] for p in pairs], np.int64)
-        self.rank = np.array([p[2] for p in pairs], np.int64)
+        self.made = np.array([*(p[1] for p in pairs), 0], np.int32)
+        self.rank = np.array([*(p[2] for p in pairs), _NONE], np.int32)
+        self.bits, self.slots = _cuckoo(self.keys)
         self.text: list[bytes] = []
         for p in all_pieces:
             self.text.append(bytes([int(p.piece[1:-1], 16)]) if p.type == _BYTE else b"" if p.type == _CONTROL else " ⁇ ".encode() if p.type == _UNKNOWN else p.piece.replace(MARK, " ").encode())
+        self.marked = [p.type == _NORMAL and p.piece.startswith(MARK) for p in all_pieces]
+        self.simple = self.prefix and self.symbol[10] >= self.beyond
         self.clear()
 
     def clear(self) -> None:
@@ -89,66 +111,75 @@ class PieceModel:
         self.ids = np.zeros(4096, np.int32)
         self.used = 0
 
-    def _look_up(self, symbols: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each symbol and the next in its word: the rank of the pair, and what it makes."""
-        rank, made = np.full(len(symbols), _NONE, np.int64), np.zeros(len(symbols), np.int64)
-        if len(symbols) > 1:
-            key = symbols[:-1] << _SHIFT | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ok = np.flatnonzero((self.keys[at] == key) & (words[:-1] == words[1:]))
-            rank[ok], made[ok] = self.rank[at[ok]], self.made[at[ok]]
-        return rank, made
-
-    def _merge(self, symbols: np.ndarray, words: np.ndarray, rank: np.ndarray, made: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Symbols, words, ranks and products after the chosen merges, and the pairs these changed."""
-        out = symbols.copy()
-        out[chosen] = made[chosen]
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Place of each pair in the tables, the last place for pairs that can't be merged."""
+        key = left.astype(np.int64) << _SHIFT | right
+        none = len(self.keys)
+        out = np.full(len(key), none, np.int32)
+        for slots, factor in zip(self.slots, _FACTORS, strict=True):
+            at = slots[(key.view(np.uint64) * factor) >> np.uint64(64 - self.bits)]
+            hit = self.keys[at] == key
+            out[hit] = at[hit]
+        return out
+
+    def _merge(self, symbols: np.ndarray, words: np.ndarray, pair: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Symbols, words and pairs after the chosen merges, and the places whose pair these changed."""
+        at = np.flatnonzero(chosen)
         keep = np.ones(len(symbols), bool)
-        keep[np.flatnonzero(chosen) + 1] = False
-        out, words, rank, made, was = out[keep], words[keep], rank[keep], made[keep], chosen[keep]
-        changed = np.flatnonzero(was | np.r_[was[1:], False])
+        keep[at + 1] = False
+        out = symbols.copy()
+        out[at] = self.made[pair[at]]
+        out, words, pair = out[keep], words[keep], pair[keep]
+        at = at - np.arange(len(at))
+        near = np.zeros(len(out) + 1, bool)
+        near[at] = near[at - 1] = True
+        changed = np.flatnonzero(near[: len(out)])
         after = np.minimum(changed + 1, len(out) - 1)
-        key = out[changed] << _SHIFT | out[after]
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        ok = (self.keys[at] == key) & (words[changed] == words[after]) & (after > changed)
-        rank[changed], made[changed] = np.where(ok, self.rank[at], _NONE), self.made[at]
-        return out, words, rank, made, changed
+        found = self._pairs(out[changed], out[after])
+        pair[changed] = np.where((words[changed] == words[after]) & (after > changed), found, len(self.keys))
+        return out, words, pair, changed
 
     def merge_rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all words one after another, and the number of symbols of each word."""
-        sizes = np.array([len(w) for w in words], np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         symbols = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
-        word = np.repeat(np.arange(len(words)), sizes)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         done_s, done_w = [], []
-        rank, made = self._look_up(symbols, word)
+        none = len(self.keys)
+        pair = np.full(len(symbols), none, np.int32)
+        if len(symbols) > 1:
+            pair[:-1] = np.where(word[:-1] == word[1:], self._pairs(symbols[:-1], symbols[1:]), none)
         while len(symbols):
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(word)]))
+            counts = np.diff(np.r_[first, len(word)])
+            rank = self.rank[pair]
             least = np.minimum.reduceat(rank, first)
-            going = least[of] != _NONE
-            if not going.all():
+            best = np.repeat(least, counts)
+            if (least == _NONE).any():
+                going = best != _NONE
                 done_s.append(symbols[~going])
                 done_w.append(word[~going])
-                symbols, word, rank, made, of = symbols[going], word[going], rank[going], made[going], of[going]
+                symbols, word, pair, rank, best = symbols[going], word[going], pair[going], rank[going], best[going]
                 if not len(symbols):
                     break
-            best = least[of]
             hit = rank == best
-            # of adjacent hits every other one, from the leftmost, is merged
-            place = np.arange(len(hit))
-            run_start = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], place, 0))
-            chosen = hit & ((place - run_start) % 2 == 0)
-            merged = self._merge(symbols, word, rank, made, chosen)
-            changed = merged[4]
-            limit = best[np.flatnonzero(np.r_[True, ~chosen[:-1]])]
-            early = merged[2][changed] <= limit[changed]
+            chosen = hit
+            if (hit[1:] & hit[:-1]).any():
+                # of adjacent hits every other one, from the leftmost, is merged
+                place = np.arange(len(hit), dtype=np.int32)
+                run_start = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], place, 0))
+                chosen = hit & ((place - run_start) & 1 == 0)
+            new_s, new_w, new_pair, changed = self._merge(symbols, word, pair, chosen)
+            new_first = np.flatnonzero(np.r_[True, new_w[1:] != new_w[:-1]])
+            limit = np.repeat(least[least != _NONE], np.diff(np.r_[new_first, len(new_w)]))
+            early = self.rank[new_pair[changed]] <= limit[changed]
             if early.any():
-                early = np.isin(word, merged[1][changed[early]])
+                again = np.isin(word, new_w[changed[early]])
                 seen = np.cumsum(chosen)
                 before = np.where(np.r_[True, word[1:] != word[:-1]], seen - chosen, 0)
-                chosen &= ~early | (seen - np.maximum.accumulate(before) == 1)
-                merged = self._merge(symbols, word, rank, made, chosen)
-            symbols, word, rank, made, _ = merged
+                chosen = chosen & (~again | (seen - np.maximum.accumulate(before) == 1))
+                new_s, new_w, new_pair, changed = self._merge(symbols, word, pair, chosen)
+            symbols, word, pair = new_s, new_w, new_pair
         if not done_s:
             return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
         symbols, word = np.concatenate(done_s), np.concatenate(done_w)
@@ -157,15 +188,24 @@ class PieceModel:
 
     def _as_bytes(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids, with the bytes of the letters that have none."""
-        if not (symbols >= self.beyond).any():
+        odd = symbols >= self.beyond
+        if not odd.any():
             return symbols.astype(np.int32), sizes
+        code = np.where(odd, symbols - self.beyond, 0)
+        n = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
         word = np.repeat(np.arange(len(sizes)), sizes)
-        parts = [self.byte_id[np.frombuffer(chr(s - self.beyond).encode("utf-8", "surrogatepass"), np.uint8)] if s >= self.beyond else np.array([s], np.int32) for s in symbols.tolist()]
-        n = np.array([len(p) for p in parts], np.int64)
-        return np.concatenate(parts).astype(np.int32), np.bincount(word, n, minlength=len(sizes)).astype(np.int64)
+        out, ends = np.repeat(symbols, n), np.cumsum(n)
+        k = np.arange(len(out)) - np.repeat(ends - n, n)
+        code, n_of, odd_of = np.repeat(code, n), np.repeat(n, n), np.repeat(odd, n)
+        part = code >> (6 * (n_of - 1 - k))
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[n_of]
+        byte = np.where(k > 0, 0x80 | (part & 0x3F), lead | part)
+        out[odd_of] = self.byte_id[byte[odd_of]]
+        return out.astype(np.int32), np.bincount(word, n, minlength=len(sizes)).astype(np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        ids, sizes = self._as_bytes(*self.merge_rounds(words))
+        """Encodes words, as ``split`` names them, and keeps their ids."""
+        ids, sizes = self._as_bytes(*self.merge_rounds([w if w[:1] == "\n" and w[1:2] != "\0" else w[2:] if w[:1] == "\n" else MARK + w for w in words]))
         n, k = len(self.code), len(words)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -178,11 +218,19 @@ class PieceModel:
         self.code.update(zip(words, range(n, n + k), strict=True))
 
     def split(self, text: str) -> list[str]:
+        """Names of the text's words. A name is a word without its one space mark; with a line break
+        in front, which no piece holds, it is just that; and after a line break and a zero, it is any word as it stands."""
         if not text:
             return []
-        if self.prefix and MARK not in text and "  " not in text and text[0] != " ":
-            return [MARK + w for w in text.split(" ")]
-        return _RUNS.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
+        if self.simple and MARK not in text and "  " not in text and text[0] != " " and "\0" not in text:
+            first, *rest = text.split("\n")
+            out = first.split(" ")
+            for line in rest:
+                parts = line.split(" ")
+                parts[0] = "\n" + parts[0]
+                out += parts
+            return out
+        return ["\n\0" + w for w in _RUNS.findall((MARK if self.prefix else "") + text.replace(" ", MARK))]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's begin and the last's end."""
@@ -202,7 +250,7 @@ class PieceModel:
     def decode(self, ids: np.ndarray) -> str:
         text = self.text
         raw = b"".join([text[i] for i in ids.tolist()])
-        if self.prefix and raw[:1] == b" " and self.text[ids[0]][:1] == b" ":
+        if self.prefix and raw[:1] == b" " and self.marked[next(i for i in ids.tolist() if text[i])]:
             raw = raw[1:]
         try:
             return raw.decode()
@@ -224,7 +272,7 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", ids_col: str = "token
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = piece_model(model)
         for column in texts:
-            lists, step = [], 256
+            lists, step = [], 128
             for k in range(0, len(column), step):
                 part = column.slice(k, step)
                 ids, ends = m.encode(part.to_pylist())
@@ -247,8 +295,28 @@ def decode_pieces(docs: DataFrame, ids_col: str = "token_ids", text_col: str = "
     return docs.withColumn(text_col, decode(col(ids_col)))
 
 
+def with_round_trip(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", same_col: str = "round_trip", model: str = MODEL) -> DataFrame:
+    """Encodes and decodes in one pass: the ids of each text, and whether they decode to it. Both are null for null."""
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())])
+
+    @F.arrow_udf(kind)
+    def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = piece_model(model)
+        for column in texts:
+            lists, same = [], []
+            for k in range(0, len(column), 128):
+                part = column.slice(k, 128)
+                strings = part.to_pylist()
+                ids, ends = m.encode(strings)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=part.is_null()))
+                same += [None if s is None else m.decode(ids[a:b]) == s for s, a, b in zip(strings, ends[:-1], ends[1:], strict=True)]
+            yield pa.StructArray.from_arrays([pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["ids", "same"])
+
+    made = docs.select("*", both(col(text_col).cast("string")).alias("gl_both"))
+    return made.withColumns({ids_col: F.col("gl_both.ids"), same_col: F.col("gl_both.same")}).drop("gl_both")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document, their number, and whether decoding them gives its text back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode_pieces(encode_pieces(docs))
-    return both.select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    return with_round_trip(docs).select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"), "round_trip")
