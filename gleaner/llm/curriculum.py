@@ -1,7 +1,7 @@
 """Mixing sources to target weights that change during training.
 
-A schedule gives each source weights at times from 0 to 1, linear in between and normalised over
-the sources. The integral of a source's weight times the budget of tokens is the demand for it up
+A schedule gives each source weights at times from 0 to 1, normalised over the sources at each of
+these times and linear in between. The integral of a source's weight times the budget of tokens is the demand for it up
 to a time; inverting it at the running sum of the source's tokens gives each document's position.
 Since the weights sum to 1, a position is also the share of the budget trained on before it, so
 equal ranges of positions hold equal numbers of tokens and need no sampling to sort by.
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, schedule: Schedule | None = SCHEDULE, id_col: str = "do
     and one that has less is used up to ``max_epochs`` times. ``schedule=None``: ``natural_schedule``.
 
     Null sources count as the source ''. Null or empty texts have no tokens and stay beside their
-    neighbour in the hash order, unless nothing of their source is used. Repeated rows are separate documents. Ties in the hash fall to the id,
+    neighbour in the hash order, unless nothing of their source is wanted. Repeated rows are separate documents. Ties in the hash fall to the id,
     then to a hash of the text. An empty table gives an empty one.
 
     Running sums are taken in buckets of the hash, and only the buckets' sums are summed over a
@@ -107,7 +107,8 @@ def mix(docs: DataFrame, schedule: Schedule | None = SCHEDULE, id_col: str = "do
     within = Window.partitionBy(src, bucket).orderBy(order, col(id_col), th).rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn(run, F.col(base) + F.sum(tokens).over(within) - F.col(tokens) / 2)
     last = F.element_at(F.col(curve), -1)["d"]
-    epochs = F.filter(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda e: (F.col(run) + e * F.col(supply_c) <= last * (1 + 1e-9)) & (last > 0) & ((e == 0) | (F.col(tokens) > 0)))
+    used = (last > 0) | (F.lit(schedule is None) & (F.col(supply_c) == 0))
+    epochs = F.filter(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda e: (F.col(run) + e * F.col(supply_c) <= last * (1 + 1e-9)) & used & ((e == 0) | (F.col(tokens) > 0)))
     placed = placed.withColumn(epoch, F.explode(epochs))
     placed = placed.withColumn(position, _position(F.col(run) + F.col(epoch) * F.col(supply_c), F.col(curve), total))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

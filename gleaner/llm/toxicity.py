@@ -217,7 +217,8 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def with_severity(docs: DataFrame, model: OrdinalModel, text_col: str = "text", name: str = "severity") -> DataFrame:
     """``docs`` and a struct: the expected severity, the likeliest grade, and whether the
-    probability of a grade above 0 reaches ``REJECT``. Null, empty and wordless texts score like a text without known words."""
+    probability of a grade above 0 reaches ``REJECT``. Null, empty and wordless texts score like a text without known words;
+    a column that has the name is replaced."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("expected", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("rejected", T.BooleanType())])
@@ -230,7 +231,7 @@ def with_severity(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
             expected = p @ np.arange(p.shape[1])
             yield pa.StructArray.from_arrays([pa.array(expected), pa.array(p.argmax(1).astype(np.int32)), pa.array((1 - p[:, 0] >= REJECT) & (p.shape[1] > 1))], names=["expected", "grade", "rejected"])
 
-    return docs.select("*", severity(col(text_col).cast("string")).alias(name))
+    return docs.withColumn(name, severity(col(text_col).cast("string")))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params: object) -> DataFrame:
