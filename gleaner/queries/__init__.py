@@ -10,11 +10,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def registry() -> tuple[dict[str, Query], dict[str, str]]:
-    from gleaner.queries import dense, evaluation, ingest, retrieval, text
+    from gleaner.queries import compiling, dense, evaluation, ingest, retrieval, text
 
     found: dict[str, Query] = {}
     sql: dict[str, str] = {}
-    for module in (ingest, text, retrieval, dense, evaluation):
+    for module in (ingest, text, retrieval, compiling, dense, evaluation):
         found |= module.QUERIES
         sql |= module.ORACLE_SQL
     return found, sql

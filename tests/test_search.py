@@ -239,3 +239,83 @@ def test_index_with_an_encoder(spark, tmp_path):
     assert index.search_semantic_query(index.compile("retry", SearchOptions())).count() == 2
     files = spark.createDataFrame([("a.py", "new", None, 3)], "source_path string, content string, mtime timestamp, size bigint")
     assert index.index_files(files) == 1 and [r["source_path"] for r in index.manifest().collect()] == ["a.py"]
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    import io
+    import json
+
+    from gleaner import cli
+
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.md").write_text("one\nneedle two\nthree")
+    (tmp_path / "files" / "b.md").write_text("other")
+
+    def run(*argv):
+        out = io.StringIO()
+        assert cli.main([*argv, "--index", str(tmp_path / "i")], out) == 0
+        return out.getvalue().strip()
+
+    assert run("index", str(tmp_path / "files")) == "2 files added"
+    assert run("index", str(tmp_path / "files")) == "0 files added"
+    found = json.loads(run("search", "needle", "--format", "json"))
+    assert [(r["path"], r["line"], r["layer"], r["byte_range"][0]) for r in found] == [("a.md", 2, "fused", 4)]
+    assert run("search", "needle", "--context", "1").endswith(":one\\nneedle two\\nthree")
+    (tmp_path / "files" / "a.md").unlink()
+    assert run("index", str(tmp_path / "files")) == "0 files added" and run("search", "needle") == ""
+    assert json.loads(run("status"))["active"] == 1
+    assert run("export-training", str(tmp_path / "t"), "other") == "1 queries exported"
+
+
+def test_models_and_reranking(texts):
+    from gleaner.plans.models import Models, reranked
+
+    encoder = Encoder({"retry": 2.0})
+    models = Models(sparse={"generic": encoder})
+    assert models.route("Code") is encoder and models.present() == {"sparse": ["generic"], "dense": [], "rerank": []} and Models().route("Prose") is None
+    docs = texts(*[(f"f{k:02d}", "alpha " * (k + 1) + "beta") for k in range(12)]).withColumn("content_type", F.lit("Unknown"))
+    q = qc.compile_query("alpha beta", None)
+    rows = reranked(docs, q, qc.realize(q), document_share, lambda e, m, w: -w[8]).collect()
+    assert len(rows) == 12 and rows[0]["source_path"] == "f00"
+    assert reranked(docs, q, qc.realize(q), document_share, lambda e, m, w: 0.0, least=12).count() == 0
+    one = qc.compile_query("alpha", None)
+    assert reranked(docs, one, qc.realize(one), document_share, lambda e, m, w: 0.0).count() == 0
+
+
+def test_deadlines(spark, tmp_path):
+    from gleaner.plans.harness import Episode, IndexRunner, run_episode
+
+    class Slow:
+        name = "slow"
+
+        def prepare(self, stable):
+            self.paths = [p for p, _ in stable]
+
+        def arrive(self, fresh):
+            self.late = [p for p, _ in fresh]
+
+        def settle(self):
+            self.paths += self.late
+
+        def search(self, query, k):
+            import time
+
+            time.sleep(0.03)
+            return self.paths[:k]
+
+    episode = Episode("e", [("a", "x")], [("b", "needle")], "needle", {"b"})
+    rows = run_episode(spark, Slow(), episode, deadlines=(0, 5, 500, None)).collect()
+    assert [(r["deadline_ms"], r["path"], r["rank"], r["relevant"]) for r in rows] == [(0, "a", 1, False), (500, "a", 1, False), (None, "a", 1, False), (None, "b", 2, True)]
+    found = run_episode(spark, IndexRunner(spark, str(tmp_path / "i")), episode, deadlines=(0, None)).collect()
+    assert [(r["deadline_ms"], r["path"]) for r in found] == [(0, "b"), (None, "b")]
+
+
+def test_compaction_keeps_what_is_found(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "i"))
+    for k in range(3):
+        index.add_text(f"f{k}.txt", f"text number{k}")
+        index.build_pending_shards()
+    before = index.chunk_count()
+    index.compact(1)
+    assert index.chunk_count() == before == 3 and index.search("number2").first()["source_path"] == "f2.txt"
+    assert index.wal_entries_count() == 3 and not index.should_skip_source("f0.txt", None, 3) and not index.delta_fallback_over_budget() and index.delta_fallback_over_budget(2)
