@@ -6,6 +6,15 @@ import re
 from typing import BinaryIO
 
 from pyarrow import fs
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def one_task_each(files: DataFrame, name: str) -> DataFrame:
+    """A list of files with one row in each partition, so that they are read side by side. Left
+    to itself Spark would put the few rows of a long list of large files into one task."""
+    number = F.row_number().over(Window.orderBy(name)) - 1
+    return files.withColumn("gl_task", number).repartitionById(max(1, files.count()), "gl_task").drop("gl_task")
 
 
 def open_path(path: str, mode: str) -> BinaryIO:

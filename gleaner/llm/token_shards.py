@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm.common import col, shared_dir, written
-from gleaner.llm.files import open_path, rename
+from gleaner.llm.files import one_task_each, open_path, rename
 from gleaner.llm.pieces import encode_pieces
 
 SAMPLE = 256
@@ -150,8 +150,14 @@ def write_token_shards(rows: DataFrame, path: str, id_col: str = "doc_id", ids_c
             return pa.RecordBatch.from_pydict({"shard": [name], "path": [s.path], "kind": [kind], "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([tokens], pa.int64()), "ef_bytes": pa.array([size], pa.int64()), "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)})
 
         for batch in it:
-            for k in range(0, len(batch), 512):
+            k = 0
+            while k < len(batch):
                 ids, lists = batch.column(0).slice(k, 512), batch.column(1).slice(k, 512)
+                sizes = np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+                full = np.flatnonzero(sizes >= shard_tokens - (shard.tokens if shard else 0))
+                if len(full):
+                    ids, lists = ids.slice(0, full[0] + 1), lists.slice(0, full[0] + 1)
+                k += len(ids)
                 flat = lists.flatten()
                 if flat.null_count or len(flat) and not 0 <= pa.compute.min(flat).as_py() <= pa.compute.max(flat).as_py() < vocabulary:
                     raise ValueError(f"a token id is null or not below {vocabulary}")
@@ -185,7 +191,8 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
                         m = len(hashes)
                         yield pa.RecordBatch.from_arrays([ids.values.slice(k, m), pa.array([name.as_py()] * m), pa.array(np.arange(k, k + m)), pa.array(ends[:-1]), pa.array(ends[1:]), pa.array(hashes)], names=schema.names)
 
-    return shards.select("shard", "path", "kind", "n_docs", "doc_ids").mapInArrow(batches, schema)
+    each = one_task_each(shards.select("shard", "path", "kind", "n_docs", "doc_ids"), "path")
+    return each.mapInArrow(batches, schema)
 
 
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

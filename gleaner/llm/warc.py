@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm.common import col, shared_dir, written
-from gleaner.llm.files import open_path, rename
+from gleaner.llm.files import one_task_each, open_path, rename
 
 CHUNK_BYTES = 1 << 16
 _BATCH_BYTES = 1 << 23
@@ -146,8 +146,8 @@ class _Joined:
 
 def read_warc_chunks(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunk table of WARC files, given a table with their paths (column ``path``). Null paths
-    and repeated ones are skipped; no files give no rows. A task reads one file after another."""
-    paths = files.select("path").where("path is not null").distinct()
+    and repeated ones are skipped; no files give no rows. Each file is a task."""
+    paths = one_task_each(files.select("path").where("path is not null").distinct(), "path")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("file", pa.string()), ("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("chunk_no", pa.int32()), ("offset", pa.int64()), ("n_bytes", pa.int32()), ("is_last", pa.bool_()), ("sha256_so_far", pa.string()), ("digest_ok", pa.bool_()), ("chunk", pa.binary())])
