@@ -6,7 +6,7 @@ fingerprint; a bit is set if most features set it. Fingerprints hold ``words`` l
 each cut into ``per_word`` blocks. Two fingerprints that differ in fewer bits than there are
 blocks must share a block, so the join on blocks finds them all; closer to the threshold a pair
 is found with the probability that some block is untouched (measured recall in the README).
-Wider blocks make fewer chance candidates: a corpus of billions wants ``words=16, per_word=2``.
+Wider blocks make fewer chance candidates: a corpus of billions wants ``words=24, per_word=2``.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from gleaner.llm.common import WORD, col, pieces, written
 from gleaner.llm.components import connected_components
 
-WORDS = 10
+WORDS = 16
 PER_WORD = 3
 MIN_WORD = 5
 #: Share of the fingerprint's bits in which near duplicates may differ.
