@@ -134,7 +134,7 @@ ORACLE_SQL = {
     "entry_metadata": f"SELECT wal_entry_id, source_path, sha256(content) AS content_hash, CAST(strlen(content) AS BIGINT) AS byte_length, 1 AS line_start, CAST(len(string_split(content, chr(10))) AS INTEGER) AS line_end, 'Prose' AS content_type FROM {DOCS}",
     "read_entries": f"SELECT wal_entry_id, content FROM {DOCS} WHERE wal_entry_id IN (SELECT doc_id FROM labels)",
     "recovered_metadata": "SELECT doc_id AS wal_entry_id, source AS source_path, doc_id AS byte_offset, n_chars AS byte_length, 1 AS line_range_start FROM documents WHERE doc_id + n_chars <= 5000",
-    "dense_ids": "SELECT printf('%012d', doc_id) AS source_path, 99 + row_number() OVER (ORDER BY doc_id) AS wal_entry_id FROM documents",
+    "dense_ids": "SELECT printf('%012d', doc_id) AS source_path, 99 + row_number() OVER (ORDER BY md5(printf('%012d', doc_id)), doc_id) AS wal_entry_id FROM documents",
     "status_counts": """
         WITH w AS (SELECT sum(CASE WHEN strlen(text) = 0 THEN 0 ELSE 1 + greatest(CAST(ceil((strlen(text) - 384) / 192.0) AS BIGINT), 0) END) AS chunks FROM documents),
         c AS (SELECT (SELECT count(*) FROM documents) AS entries, (SELECT count(*) FROM labels) AS active,

@@ -91,11 +91,16 @@ def code_examples(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("trim(code) <> '' and trim(docstring) <> ''")
 
 
-def next_ids(rows: DataFrame, last: int, order: str = "source_path") -> DataFrame:
-    """``rows`` with dense ids after ``last``, in the order of a column. A batch is numbered in
-    two steps: its partitions are counted, and each counts on from the sum of those before it."""
-    ranged = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
-    counts = ranged.groupBy("_part").count()
-    starts = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_start"))
-    rank = F.col("_k") - F.shiftleft(F.col("_part").cast("long"), 33)
-    return ranged.join(F.broadcast(starts), "_part").withColumn("wal_entry_id", F.lit(last + 1) + F.col("_start") + rank).drop("_part", "_k", "_start")
+def next_ids(rows: DataFrame, last: int, key: str = "source_path") -> DataFrame:
+    """``rows`` with dense ids after ``last``, in the order of a hash of a column, then of the column.
+
+    Rows are numbered in buckets of the hash, each from the number of rows in the buckets before it.
+    Nothing depends on how rows are partitioned, so a repeated task gives the same ids."""
+    taken = {c.lower() for c in rows.columns}
+    if taken & {"gl_hash", "gl_bucket", "gl_start"}:
+        raise ValueError("columns named gl_hash, gl_bucket or gl_start are taken")
+    hashed = rows.withColumn("gl_hash", F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))).withColumn("gl_bucket", F.substring("gl_hash", 1, 4))
+    counts = hashed.groupBy("gl_bucket").agg(F.count("*").alias("n"))
+    starts = counts.select("gl_bucket", (F.sum("n").over(Window.orderBy("gl_bucket")) - F.col("n")).alias("gl_start"))
+    rank = F.row_number().over(Window.partitionBy("gl_bucket").orderBy("gl_hash", key))
+    return hashed.withColumn("wal_entry_id", rank.cast("long")).join(starts, "gl_bucket").withColumn("wal_entry_id", F.lit(last) + F.col("gl_start") + F.col("wal_entry_id")).drop("gl_hash", "gl_bucket", "gl_start")

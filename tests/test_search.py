@@ -190,7 +190,9 @@ def test_catalog(spark):
     tie = spark.createDataFrame([("a.rs",), ("b.md",)], "source_path string")
     assert catalog.dominant_content_type(tie).first()["content_type"] == "Prose"
     ids = next_ids(spark.createDataFrame([("b",), ("a",), ("c",)], "source_path string"), 4)
-    assert sorted((r["wal_entry_id"], r["source_path"]) for r in ids.collect()) == [(5, "a"), (6, "b"), (7, "c")]
+    assert sorted(r["wal_entry_id"] for r in ids.collect()) == [5, 6, 7] and {r["source_path"] for r in ids.collect()} == {"a", "b", "c"}
+    again = next_ids(ids.select("source_path").repartition(3), 4)
+    assert {tuple(sorted(r.asDict().items())) for r in ids.collect()} == {tuple(sorted(r.asDict().items())) for r in again.collect()}
 
 
 def test_recovery_and_sources(spark, tmp_path):
