@@ -18,7 +18,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ _SHIFT = 21
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _NONE = int(np.iinfo(np.int32).max)
 _RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 500_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -63,6 +63,18 @@ def _cuckoo(keys: np.ndarray) -> tuple[int, list[np.ndarray]]:
     return bits, [np.maximum(np.array(s, np.int32), 0) for s in slots]
 
 
+class _Codes(dict):
+    """Numbers of words. A word that is looked up for the first time gets the next one and is noted."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class PieceModel:
     """The pairs that a model file's pieces can be merged from, by rank, and a cache of words."""
 
@@ -105,7 +117,7 @@ class PieceModel:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code = _Codes()
         self.starts = np.zeros(1024, np.int64)
         self.sizes = np.zeros(1024, np.int64)
         self.ids = np.zeros(4096, np.int32)
@@ -206,7 +218,7 @@ class PieceModel:
     def _learn(self, words: list[str]) -> None:
         """Encodes words, as ``split`` names them, and keeps their ids."""
         ids, sizes = self._as_bytes(*self.merge_rounds([w if w[:1] == "\n" and w[1:2] != "\0" else w[2:] if w[:1] == "\n" else MARK + w for w in words]))
-        n, k = len(self.code), len(words)
+        n, k = len(self.code) - len(words), len(words)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + k > len(self.starts):
@@ -215,7 +227,6 @@ class PieceModel:
         self.starts[n : n + k] = self.used + np.cumsum(sizes) - sizes
         self.sizes[n : n + k] = sizes
         self.used += len(ids)
-        self.code.update(zip(words, range(n, n + k), strict=True))
 
     def split(self, text: str) -> list[str]:
         """Names of the text's words. A name is a word without its one space mark; with a line break
@@ -237,15 +248,15 @@ class PieceModel:
         if len(self.code) > _CACHE_WORDS:
             self.clear()
         split = [self.split(t) if t else [] for t in texts]
-        words = [w for ws in split for w in ws]
-        new = list(dict.fromkeys(filterfalse(self.code.__contains__, words)))
-        if new:
-            self._learn(new)
-        codes = np.array(list(map(self.code.__getitem__, words)), np.int64)
+        counts = np.cumsum([0, *map(len, split)])
+        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, counts[-1])
+        if self.code.new:
+            self._learn(self.code.new)
+            self.code.new = []
         sizes, ends = self.sizes[codes], np.zeros(len(codes) + 1, np.int64)
         np.cumsum(sizes, out=ends[1:])
         at = np.repeat(self.starts[codes] - ends[:-1], sizes) + np.arange(ends[-1])
-        return self.ids[at], ends[np.cumsum([0, *map(len, split)])]
+        return self.ids[at], ends[counts]
 
     def decode(self, ids: np.ndarray) -> str:
         text = self.text
