@@ -56,7 +56,7 @@ def body_tokens(text: Column) -> Column:
 
 def ident_tokens(text: Column) -> Column:
     """Lowercased runs of the letters of identifiers and paths."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_:.\\/-]+"), F.lit(0)), lambda t: F.lower(t))
+    return F.transform(F.regexp_extract_all(text, F.lit(r"[\w:./\\-]+"), F.lit(0)), lambda t: F.lower(t))
 
 
 def subtokens(token: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.text import body_tokens, ident_tokens, subtoken_text
 
 K1, B = 1.2, 0.75
-_IDENT = re.compile(r"[A-Za-z0-9_:.\\/-]+")
+_IDENT = re.compile(r"[\w:./\\-]+", re.ASCII)
 
 
 def field_tokens(text: Column, field: str) -> Column:

@@ -263,7 +263,7 @@ ORACLE_SQL = {
     "bm25_all": f"WITH {_bm25([('license', 2.0), ('that', 1.0), ('with', 0.5)], ['license', 'that'])} SELECT wal_entry_id, round(score, 6) AS score FROM bm",
     "bm25_phrase": f"WITH {_bm25([('that', 1), ('the', 1)], ['that', 'the'])} SELECT wal_entry_id, source_path, round(score, 6) AS score FROM bm WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' that the ') ORDER BY bm.score DESC, source_path LIMIT 50",
     "identifier_fallback": r"""
-        WITH t AS (SELECT page_id, list_transform(regexp_extract_all(url, '[A-Za-z0-9_:.\\/-]+'), lambda x: lower(x)) AS t FROM pages),
+        WITH t AS (SELECT page_id, list_transform(regexp_extract_all(url, '[\w:./\\-]+'), lambda x: lower(x)) AS t FROM pages),
         c AS (SELECT *, len(t) AS n, count(*) OVER () AS cnt, avg(len(t)) OVER () AS av FROM t),
         u AS (SELECT c.*, w, len(list_filter(t, lambda x: x = w)) AS tf FROM c, (VALUES ('utm_source'), ('feed')) v(w)),
         d AS (SELECT *, sum(CAST(tf > 0 AS INTEGER)) OVER (PARTITION BY w) AS df FROM u)

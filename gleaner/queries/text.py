@@ -119,7 +119,7 @@ o AS (SELECT *, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY wal_entry
 
 ORACLE_SQL = {
     "tokens_body": f"SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT doc_id AS id, unnest({_WORDS.format('text')}) AS term FROM documents) GROUP BY term",
-    "tokens_ident": r"SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT page_id AS id, lower(unnest(regexp_extract_all(html, '[A-Za-z0-9_:.\\/-]+'))) AS term FROM pages) GROUP BY term",
+    "tokens_ident": r"SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT page_id AS id, lower(unnest(regexp_extract_all(html, '[\w:./\\-]+'))) AS term FROM pages) GROUP BY term",
     "subtokens": r"SELECT page_id, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(url, '([a-z])([A-Z])', '\1_\2', 'g')), '[_\-.:/\\]'), lambda x: x <> ''), ' ') AS subtokens FROM pages",
     "subtoken_counts": r"""
         WITH w AS (SELECT unnest(regexp_split_to_array(text, '[ \t\n\r\f\v]+')) AS w FROM documents),
