@@ -30,7 +30,7 @@ WORDS = 16
 PER_WORD = 3
 MIN_WORD = 5
 #: Share of the fingerprint's bits in which near duplicates may differ.
-MAX_SHARE = 0.13
+MAX_SHARE = 0.17
 _LONG = re.compile(r"[^\W_]{%d,}" % MIN_WORD)
 _CACHE_WORDS = 150_000
 _ROWS = 16_384
