@@ -177,6 +177,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     one = labels.where(col(label_col).isNotNull() & col(id_col).isNotNull()).groupBy(col(id_col).alias("id")).agg(F.max(col(label_col)).cast("int").alias("label"))
     picked = one.orderBy(F.xxhash64("id"), "id").limit(train_rows)
     text = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).where("text is not null")
+    # at most train_rows rows of words and numbers
     table = _word_counts(text.join(F.broadcast(picked), "id").select("label", "text")).toArrow()
     if not len(table):
         return OrdinalModel()
@@ -187,9 +188,10 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     table = table.take(pa.array(firsts))
     lists = table.column("words").combine_chunks()
     codes = pa.compute.list_flatten(lists).dictionary_encode()
-    rows = np.repeat(np.arange(len(flags), dtype=np.int64), pa.compute.list_value_length(lists).to_numpy())
-    cols = codes.indices.to_numpy().astype(np.int64)
-    values = pa.compute.list_flatten(table.column("rates").combine_chunks()).to_numpy().astype(np.float64)
+    rows = np.repeat(np.arange(len(flags), dtype=np.int32), pa.compute.list_value_length(lists).to_numpy())
+    cols = codes.indices.to_numpy()
+    values = pa.compute.list_flatten(table.column("rates").combine_chunks()).to_numpy()
+    del table, lists
     n, least = len(flags), min(min_docs, max(3, len(flags) // 100))
     names: list[str] = []
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -197,11 +199,15 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         words = codes.dictionary
         long = np.ones(len(words), bool) if not size else pa.compute.utf8_length(words).to_numpy() >= size
         starts = (words if not size else pa.compute.utf8_slice_codeunits(words, 0, size)).dictionary_encode()
-        of = starts.indices.to_numpy().astype(np.int64)
+        of, width = starts.indices.to_numpy(), len(starts.dictionary)
         some = long[cols]
-        width = len(starts.dictionary)
-        keys, at = np.unique(rows[some] * width + of[cols[some]], return_inverse=True)
-        r, c, v = keys // max(1, width), keys % max(1, width), np.bincount(at, values[some], minlength=len(keys))
+        keys = rows[some].astype(np.int64) * width + of[cols[some]]
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1)) if len(keys) else np.zeros(0, np.int64)
+        v = np.add.reduceat(values[some][order], first, dtype=np.float64) if len(first) else np.zeros(0)
+        r, c = keys[first] // max(1, width), keys[first] % max(1, width)
+        del keys, order
         ok = (np.bincount(c, minlength=width) >= least) & (telling(r, c, flags, width) >= min(MIN_RATIO, n / 10))
         keep = ok[c]
         found.append((r[keep], (np.cumsum(ok) - 1)[c[keep]] + len(names), v[keep]))
