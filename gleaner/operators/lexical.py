@@ -46,6 +46,13 @@ def _is(word: str) -> Callable[[Column], Column]:
     return lambda token: token == word
 
 
+def _occurrences(lowered: Column, word: str) -> Column:
+    """Body tokens equal to the word, counted in the text itself: no list of tokens is made."""
+    if not re.fullmatch(r"[^\W_]+", word):
+        return F.lit(0)
+    return F.coalesce(F.regexp_count(lowered, F.lit(rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])")), F.lit(0))
+
+
 def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
 
@@ -55,9 +62,11 @@ def bm25_scan(texts: DataFrame, terms: list[str], field: str = "body", text: str
     ``boosts`` times. One scan for the statistics, one for the scores; a row is one document."""
     if not terms:
         return texts.limit(0).withColumn("score", F.lit(0.0))
-    tokens = field_tokens(F.col(text), field)
-    counts = F.array(*[F.size(F.filter("_t", _is(w))) for w in terms])
-    counted = texts.withColumn("_t", tokens).withColumn("_n", F.size("_t")).withColumn("_tf", counts).drop("_t")
+    if field == "body":
+        counted = texts.withColumn("_n", F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")), F.lit(0))).withColumn("_tf", F.array(*[_occurrences(F.lower(F.col(text)), w) for w in terms]))
+    else:
+        counts = F.array(*[F.size(F.filter("_t", _is(w))) for w in terms])
+        counted = texts.withColumn("_t", field_tokens(F.col(text), field)).withColumn("_n", F.size("_t")).withColumn("_tf", counts).drop("_t")
     stats = counted.agg(F.count("*").alias("N"), F.avg("_n").alias("L"), *[F.sum((F.col("_tf")[k] > 0).cast("long")).alias(f"df{k}") for k in range(len(terms))])
     joined = counted.crossJoin(F.broadcast(stats))
     must = [k for k, w in enumerate(terms) if anchors is None or w in anchors]
