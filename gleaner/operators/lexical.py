@@ -114,8 +114,8 @@ def parse_query(query: str) -> tuple[str, list[str]]:
     return "words", query_terms(q)
 
 
-def search_lexical(texts: DataFrame, query: str, limit: int, path: str = "source_path") -> tuple[DataFrame, bool]:
-    """The best documents by score, then path, and whether the query was refused."""
+def search_lexical(texts: DataFrame, query: str, limit: int | None, path: str = "source_path") -> tuple[DataFrame, bool]:
+    """The best documents by score, then path (all of them without a limit, in no order), and whether the query was refused."""
     kind, terms = parse_query(query)
     if kind == "bad":
         return texts.limit(0).withColumn("score", F.lit(0.0)), True
@@ -124,7 +124,7 @@ def search_lexical(texts: DataFrame, query: str, limit: int, path: str = "source
         found = texts_of.where(phrase_match(F.col("content"), query))
     else:
         found = bm25_scan(texts, terms, "ident" if kind == "ident" else "body")
-    return found.orderBy(F.desc("score"), path).limit(limit), kind == "ident"
+    return found if limit is None else found.orderBy(F.desc("score"), path).limit(limit), kind == "ident"
 
 
 def first_line_with(text: Column, query: str) -> Column:

@@ -127,7 +127,7 @@ def no_window_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _two_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    bm25, _ = layers.bm25_layer(docs, FLAGSHIP, fusion.DEPTH)
+    bm25, _ = layers.bm25_layer(docs, FLAGSHIP)
     return fusion.union([fusion.layer(layers.scan_layer(docs, FLAGSHIP), "scan", 0), fusion.layer(bm25, "bm25", 1)])
 
 
@@ -164,7 +164,7 @@ def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boolean and windowed layers of a compiled query, and the scan, fused."""
     docs, q = documents(spark, sf_dir), compiled()
     typed = docs.withColumn("content_type", F.lit("Unknown"))
-    made = [fusion.layer(layers.scan_layer(docs, "thon thly"), "scan", 0), fusion.layer(layers.boolean_layer(docs, q, fusion.DEPTH), "splade-bm25", 1), fusion.layer(layers.semantic_layer(typed, q), "semantic", 2)]
+    made = [fusion.layer(layers.scan_layer(docs, "thon thly"), "scan", 0), fusion.layer(layers.boolean_layer(docs, q), "splade-bm25", 1), fusion.layer(layers.semantic_layer(typed, q), "semantic", 2)]
     return _fused(fusion.finalize(fusion.coverage_fuse(fusion.union(made)), 10))
 
 

@@ -321,3 +321,14 @@ def test_compaction_keeps_what_is_found(spark, tmp_path):
     index.compact(1)
     assert index.chunk_count() == before == 3 and index.search("number2").first()["source_path"] == "f2.txt"
     assert index.wal_entries_count() == 3 and not index.should_skip_source("f0.txt", None, 3) and not index.delta_fallback_over_budget() and index.delta_fallback_over_budget(2)
+
+
+def test_layers_are_fused_whole(spark):
+    n = 1500
+    rows = spark.range(n).select(F.col("id").alias("wal_entry_id"), F.lit(0).cast("long").alias("byte_start"), F.lit(9).cast("long").alias("byte_end"), F.format_string("p%05d", "id").alias("source_path"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit(0).alias("chunk_id"), F.lit("of the").alias("snippet"), F.lit(1.0).alias("score"))
+    both = fusion.union([fusion.layer(rows, "scan", 0), fusion.layer(rows.withColumn("score", F.col("wal_entry_id") % 7 + 1.0), "bm25", 1)]).repartition(5)
+    got = {(r["layer_ord"], r["wal_entry_id"]): r["rank"] for r in fusion.with_ranks(both).collect()}
+    assert got == {**{(0, i): i for i in range(n)}, **{(1, i): k for k, i in enumerate(sorted(range(n), key=lambda i: (-(i % 7), i)))}}
+    assert fusion.coverage_fuse(both).count() == n
+    fresh = spark.createDataFrame([(n - 1,)], "wal_entry_id bigint")
+    assert {(r["layer"], r["wal_entry_id"]) for r in fusion.stale_only_filter(both, fresh).collect()} == {("scan", n - 1), ("bm25", n - 1)}
