@@ -6,6 +6,12 @@ fingerprint; a bit is set if most features set it. Fingerprints hold ``words`` l
 each cut into ``per_word`` blocks. Two fingerprints that differ in fewer bits than there are
 blocks must share a block, so the join on blocks finds them all; closer to the threshold a pair
 is found with the probability that some block is untouched (measured recall in the README).
+
+Near fingerprints only nominate a pair. It counts if the texts agree in all their words with order
+and number: each document has a sketch of its shingles of ``SHINGLE`` words (the n-th use of a
+shingle is a feature of its own), a minimum for each of ``LANES`` parts of the hash range, and
+``MIN_SIMILARITY`` of the lanes that either document fills must be equal. That estimates the Jaccard
+similarity of the shingles, and is nearly exact for short texts.
 Wider blocks make fewer chance candidates: a corpus of billions wants ``words=24, per_word=2``.
 """
 
@@ -31,6 +37,10 @@ PER_WORD = 3
 MIN_WORD = 5
 #: Share of the fingerprint's bits in which near duplicates may differ.
 MAX_SHARE = 0.17
+SHINGLE = 3
+LANES = 128
+#: Estimated shingle similarity from which a pair of near fingerprints counts as near duplicates.
+MIN_SIMILARITY = 0.3
 _LONG = re.compile(r"[^\W_]{%d,}" % MIN_WORD)
 _CACHE_WORDS = 150_000
 _ROWS = 16_384
@@ -80,20 +90,82 @@ class Fingerprinter:
         return np.packbits(bits).view(">i8").astype(np.int64)
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, those of recent words kept."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _CACHE_WORDS:
+            self.clear()
+        found = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+        return found
+
+
+class Sketcher:
+    """Sketches of all shingles of a text."""
+
+    def __init__(self) -> None:
+        self.at = _Hashes()
+
+    @staticmethod
+    def _mix(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def one(self, text: str | None) -> bytes | None:
+        if not text or not text.strip():
+            return None
+        parts = [np.fromiter(map(self.at.__getitem__, WORD.findall(piece.lower())), np.uint64) for piece in pieces(text)]
+        words = np.concatenate(parts)
+        if not len(words):
+            words = np.array([self.at[text.strip()]], np.uint64)
+        width = min(SHINGLE, len(words))
+        marks = np.zeros(len(words) - width + 1, np.uint64)
+        for k in range(width):
+            marks = self._mix(marks + words[k : len(words) - width + 1 + k])
+        marks.sort()
+        first = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]]))
+        use = np.arange(len(marks)) - np.repeat(first, np.diff(np.append(first, len(marks))))
+        marks = np.sort(self._mix(marks + use.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        lanes, at = np.unique(marks // np.uint64((1 << 64) // LANES), return_index=True)
+        out = np.zeros(LANES, "<u2")
+        out[lanes.astype(np.int64)] = (marks[at] & np.uint64(0x7FFF)) + np.uint64(1)
+        return out.tobytes()
+
+
+def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The share of the lanes filled in either of two sketches that are equal, pair by pair."""
+    x, y = (np.frombuffer(b"".join(s), "<u2").reshape(-1, LANES) for s in (a, b))
+    return ((x == y) & (x > 0)).sum(axis=1) / np.maximum(((x > 0) | (y > 0)).sum(axis=1), 1)
+
+
+def alike(pairs: DataFrame, sketches: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
+    """The pairs ``(a, b)`` whose sketches in ``(rep, sketch)`` are similar enough."""
+    both = pairs.select("a", "b").join(sketches.selectExpr("rep as a", "sketch as x"), "a").join(sketches.selectExpr("rep as b", "sketch as y"), "b").select("a", "b", "x", "y")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if batch.num_rows:
+                good = similarity(batch.column(2).to_pylist(), batch.column(3).to_pylist()) >= least
+                yield batch.select([0, 1]).filter(pa.array(good))
+
+    return both.mapInArrow(batches, "a bigint, b bigint")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``(id, th, f0, f1, ...)`` for each row: its id, a hash of its text, its fingerprint.
-    A null, empty or blank text has a null fingerprint."""
+    """``(id, th, f0, f1, ..., sketch)`` for each row: its id, a hash of its text, its fingerprint, its
+    sketch of shingles. A null, empty or blank text has a null fingerprint and sketch."""
     names = [f"f{k}" for k in range(words)]
     rows = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("th"), col(text_col).cast("string").alias("text"))
-    schema = T.StructType([rows.schema["id"], T.StructField("th", T.LongType()), *[T.StructField(n, T.LongType()) for n in names]])
+    schema = T.StructType([rows.schema["id"], T.StructField("th", T.LongType()), *[T.StructField(n, T.LongType()) for n in names], T.StructField("sketch", T.BinaryType())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Fingerprinter(words)
+        made, sketcher = Fingerprinter(words), Sketcher()
         for batch in it:
             prints = [made.one(t.as_py()) for t in batch.column(2)]
             null = np.array([p is None for p in prints], bool)
             table = np.array([np.zeros(words, np.int64) if p is None else p for p in prints], np.int64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(table[:, k], mask=null) for k in range(words)]], names=["id", "th", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(table[:, k], mask=null) for k in range(words)], pa.array([sketcher.one(t.as_py()) for t in batch.column(2)], pa.binary())], names=["id", "th", *names, "sketch"])
 
     return rows.mapInArrow(batches, schema)
 
@@ -126,15 +198,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null, empty and blank texts and null ids are groups of their own and stay. Rows with the same
     id and text are one document; rows with the same id and different texts are ordered by a hash
-    of the text. Equal fingerprints fall together before any pairs are made, so a group of any
-    number of exact copies costs one row. Such rows get numbers, which are kept by writing them."""
+    of the text. Rows with equal fingerprints and sketches fall together before any pairs are made, so a group of any
+    number of exact copies costs one row. Other near pairs count if their sketches are similar. Such rows get numbers, which are kept by writing them."""
     names = [f"f{k}" for k in range(words)]
-    marks = written(fingerprints(docs, id_col, text_col, words).withColumn("all", F.xxhash64(*names)), "fingerprints")
+    marks = written(fingerprints(docs, id_col, text_col, words).withColumn("all", F.xxhash64(*names, "sketch")), "fingerprints")
     some = marks.where("id is not null and f0 is not null")
     key = F.struct("id", "th")
-    firsts = some.groupBy("f0", "all").agg(F.min(key).alias("first"), *[F.first(n).alias(n) for n in names[1:]])
+    firsts = some.groupBy("f0", "all").agg(F.min(key).alias("first"), *[F.first(n).alias(n) for n in [*names[1:], "sketch"]])
     prints = written(firsts.withColumn("rep", F.monotonically_increasing_id()), "distinct-fingerprints")
-    roots = connected_components(near_pairs(prints, words, per_word, max_share))
+    roots = connected_components(alike(near_pairs(prints, words, per_word, max_share), prints))
     inside = roots.join(prints.select(F.col("rep").alias("node"), "first"), "node")
     leads = inside.join(inside.groupBy("root").agg(F.min("first").alias("lead")), "root").select(F.col("node").alias("rep"), "lead")
     reps = prints.select("f0", "all", "rep", "first").join(leads, "rep", "left").select("f0", "all", F.coalesce("lead", "first").alias("lead"))

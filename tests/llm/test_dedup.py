@@ -216,3 +216,14 @@ def test_length_of_lines_is_a_parameter(spark, documents, min_chars):
     rows = [(1, "tiny"), (2, "tiny\nb")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(rows), min_chars=min_chars).collect()}
     assert got[2] == ("b" if min_chars == 1 else "tiny\nb")
+
+
+def test_the_list_of_a_documents_long_words_is_no_copy(spark, documents):
+    rng = random.Random(6)
+    words = [w for x in prose(rng, 300) for w in (x, rng.choice(["of", "the", "a", "in"]))]
+    near = [*words[:100], *prose(rng, 3), *words[103:]]
+    rows = [(1, " ".join(words)), (2, " | ".join(dict.fromkeys(w for w in words if len(w) >= 5))), (3, " ".join(near)), (4, " ".join(words[::-1]))]
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(documents(rows)).collect()} == {1, 2, 4}
+    made = simhash.Sketcher()
+    assert made.one(None) is None and made.one(" ") is None and made.one("!!!") != made.one("???") and made.one("a b") == made.one("A, b")
+    assert simhash.similarity([made.one("a b c " * 50)], [made.one("a b c " * 2)])[0] < 0.2
