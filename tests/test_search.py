@@ -332,3 +332,14 @@ def test_layers_are_fused_whole(spark):
     assert fusion.coverage_fuse(both).count() == n
     fresh = spark.createDataFrame([(n - 1,)], "wal_entry_id bigint")
     assert {(r["layer"], r["wal_entry_id"]) for r in fusion.stale_only_filter(both, fresh).collect()} == {("scan", n - 1), ("bm25", n - 1)}
+
+
+def test_an_entry_without_vectors_is_found_by_meaning(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "i"), embed=lambda t: [float("feline" in t or "cat" in t), 0.1])
+    index.add_text("a.txt", "about dogs")
+    index.embed_pending()
+    index.add_text("b.txt", "a cat")
+    out = index.search_with_outcome("feline animals")
+    assert out.layers[-3:] == ["vec", "promoted", "delta"]
+    assert out.results.first()["source_path"] == "b.txt"
+    assert "delta" not in index.search_with_outcome("feline animals", SearchOptions(allow_delta_fallback=False)).layers
