@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
 from gleaner.operators import catalog, chunking, evaluate
 from gleaner.sources.entries import as_entries, documents, next_ids, recover_metadata
+from gleaner.storage import shared_dir
 from gleaner.streaming.append import appended, stream_append
 
 DOCS = "(SELECT doc_id AS wal_entry_id, concat_ws('/', source, lang, doc_id || '.txt') AS source_path, text AS content FROM documents)"
@@ -99,10 +98,7 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_append_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table, read as a stream, appended, and counted by type."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
-    import uuid
-
-    where = f"{base.rstrip('/')}/gleaner-stream-{uuid.uuid4().hex}"
+    where = shared_dir(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream_append(source, f"{where}/out", f"{where}/checkpoint").awaitTermination()

@@ -240,10 +240,9 @@ def _boolean_sql() -> str:
 
 _LAYERS = f"""{_LINES}, {_bm25([("of", 1), ("the", 1)], ["of", "the"])},
 sh AS (SELECT o.wal_entry_id, o.source_path, 1.0 AS score, n, a, line FROM o WHERE contains(line, 'of the') QUALIFY row_number() OVER (PARTITION BY wal_entry_id ORDER BY n) = 1),
-s AS (SELECT *, row_number() OVER (ORDER BY score DESC, source_path, n) - 1 AS rk FROM sh QUALIFY row_number() OVER (ORDER BY score DESC, source_path, n) <= 1000),
+s AS (SELECT *, row_number() OVER (ORDER BY score DESC, source_path, n) - 1 AS rk FROM sh),
 fl AS (SELECT wal_entry_id, n, a, line, row_number() OVER (PARTITION BY wal_entry_id ORDER BY CASE WHEN contains(line, 'of the') THEN 0 WHEN contains(line, 'of') OR contains(line, 'the') THEN 1 ELSE 2 END, n) AS k FROM o),
-b AS (SELECT bm.wal_entry_id, bm.source_path, bm.score, n, a, line, row_number() OVER (ORDER BY bm.score DESC, bm.source_path, n) - 1 AS rk FROM bm JOIN fl ON bm.wal_entry_id = fl.wal_entry_id AND k = 1
-  QUALIFY row_number() OVER (ORDER BY bm.score DESC, bm.source_path, n) <= 1000)"""
+b AS (SELECT bm.wal_entry_id, bm.source_path, bm.score, n, a, line, row_number() OVER (ORDER BY bm.score DESC, bm.source_path, n) - 1 AS rk FROM bm JOIN fl ON bm.wal_entry_id = fl.wal_entry_id AND k = 1)"""
 _FUSED = f"""{_LAYERS},
 j AS (SELECT coalesce(s.wal_entry_id, b.wal_entry_id) AS wal_entry_id, coalesce(s.source_path, b.source_path) AS source_path, s.rk AS srk, b.rk AS brk, s.score AS ss, b.score AS bs, s.n AS sn, b.n AS bn, s.a AS sa, b.a AS ba, s.line AS sl, b.line AS bl
   FROM s FULL JOIN b ON s.wal_entry_id = b.wal_entry_id),
