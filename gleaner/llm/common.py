@@ -1,39 +1,24 @@
-"""Shared pieces of the training-data operators: the cluster's shared folder, tables that
-cut lineage, column names that can't clash, and text handling inside Arrow batches."""
+"""Shared pieces of the training-data operators: column names that can't clash, and text handling
+inside Arrow batches. Tables that cut lineage are those of ``gleaner.storage``."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.storage import shared_dir, written
+
+__all__ = ["PIECE_CHARS", "WORD", "col", "fresh", "pieces", "shared_dir", "words", "written"]
+
 WORD = re.compile(r"[^\W_]+")
 #: Longer texts are tokenised in pieces of about this many characters, so that the tokens of
 #: one text never stand in memory at once. Every piece is used.
 PIECE_CHARS = 1 << 20
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a folder of this machine only where that
-    setting is missing, as in tests on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/gleaner-{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, and safe when executors are lost."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, in any letter case."""
     taken = {c.lower() for c in df.columns}
