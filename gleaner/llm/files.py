@@ -25,6 +25,12 @@ def open_path(path: str, mode: str) -> BinaryIO:
     return system.open_input_stream(inner, compression=None, buffer_size=1 << 20)
 
 
+def open_random(path: str) -> BinaryIO:
+    """A file that is read at any place."""
+    system, inner = fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9+.-]+:", path) else (fs.LocalFileSystem(), path)
+    return system.open_input_file(inner)
+
+
 def rename(old: str, new: str) -> None:
     system, inner = fs.FileSystem.from_uri(old)
     system.move(inner, fs.FileSystem.from_uri(new)[1])

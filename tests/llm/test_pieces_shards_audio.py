@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -107,21 +108,84 @@ def slow_resample(x, rate_in, rate_out):
     return np.array(out)
 
 
+def sampled(x, rates=(audio.RATE_IN, audio.RATE)):
+    clip = audio.Clip(x.astype("<i2").tobytes(), *rates)
+    return clip, clip.samples(0, clip.n)
+
+
 @pytest.mark.parametrize("rates", [(22_050, 16_000), (8_000, 16_000), (44_100, 16_000), (16_000, 16_000)])
 def test_polyphase_is_the_windowed_sinc(rates):
-    x = np.random.default_rng(3).standard_normal(700).astype(np.float32)
-    assert np.allclose(audio.resample(x, *rates), x if rates[0] == rates[1] else slow_resample(x, *rates), atol=2e-5)
+    x = np.random.default_rng(3).integers(-9000, 9000, 700)
+    level = (x - x.mean()) / 32768
+    clip, got = sampled(x, rates)
+    assert np.allclose(got, level if rates[0] == rates[1] else slow_resample(level, *rates), atol=1e-12)
+    again = audio.Clip(x.astype("<i2").tobytes(), *rates)
+    parts = [again.samples(k, min(k + 37, clip.n)) for k in range(0, clip.n, 37)]
+    again.held = (0, 0, np.zeros(0))
+    assert np.allclose(np.concatenate(parts), got, atol=1e-15) and np.allclose(again.samples(clip.n - 40, clip.n), got[-40:], atol=1e-15)
 
 
 def test_a_tone_stays_where_it_is():
     t = np.arange(22_050) / 22_050
-    mel = audio.log_mel(audio.frames_of(audio.resample(np.sin(2 * np.pi * 1000 * t).astype(np.float32))))
+    clip, _ = sampled(20_000 * np.sin(2 * np.pi * 1000 * t))
+    mel = audio.log_mel(clip.frames(0, clip.n_frames))
     edge = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + 8000 / 700), audio.MELS + 2) / 2595) - 1)
     peak = int(np.median(mel[5:-5].argmax(1)))
     assert edge[peak] < 1000 < edge[peak + 2]
-    x = np.random.default_rng(4).standard_normal(400).astype(np.float32)
-    by_hand = np.abs(np.fft.rfft(np.pad(x * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(400) / 400)), (0, 112)))) ** 2
-    assert np.allclose(audio.log_mel(audio.frames_of(x))[0], np.log(np.maximum(by_hand @ audio.mel_matrix(), 1e-10)), atol=1e-3)
+
+
+def slow_tensors(pcm):
+    """A clip's tensors by a sinc per sample, a discrete Fourier sum per frame and a state machine."""
+    x = np.frombuffer(pcm, "<i2", len(pcm) // 2).astype(float)
+    if not len(x):
+        return []
+    y = slow_resample((x - x.mean()) / 32768, audio.RATE_IN, audio.RATE)
+    n = max(1, -(-(len(y) - 400) // 160) + 1)
+    frames = [np.pad(y, (0, n * 160 + 400))[k * 160 : k * 160 + 400] for k in range(n)]
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(257), np.arange(400)) / 512)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(400) / 400)
+    edge = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + 8000 / 700), 66) / 2595) - 1)
+    bands = [[max(0, min((f - a) / (b - a), (c - f) / (c - b))) for f in np.arange(257) * 16_000 / 512] for a, b, c in zip(edge, edge[1:], edge[2:])]
+    mel = [np.log(np.maximum(np.array(bands) @ np.abs(wave @ (f * hann)) ** 2, 1e-10)) for f in frames]
+    db = [10 * np.log10(max((f**2).mean(), 1e-12)) for f in frames]
+    found, on = [], False
+    for k, v in enumerate(db if max(db) > -100 else []):
+        if not on and v >= max(db) - 12:
+            on, start = True, k
+        elif on and v < max(db) - 18:
+            on = False
+            found.append((start, k))
+    found += [(start, n)] * on
+    return [(s, p, k * 0.01, min(len(y) / 16_000, (k + min(16, b - k) - 1) * 0.01 + 0.025), min(16, b - k), np.array(mel[k : min(k + 16, b)])) for s, (a, b) in enumerate(found) for p, k in enumerate(range(a, b, 16))]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_query_against_brute_force(spark):
+    got = {(r["page_id"], r["segment"], r["part"]): r for r in audio.op4_audio_features(spark, "/root/testdata/sf0.001").collect()}
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    expected = {(p["page_id"], s, k): rest for p in pages for s, k, *rest in slow_tensors((p["html"] or "").encode())}
+    assert set(got) == set(expected) and len(got) > len(pages) / 2
+    for key, (start, end, n, mel) in expected.items():
+        r = got[key]
+        assert r["n_frames"] == n and (r["start_s"], r["end_s"]) == pytest.approx((start, end), abs=1e-9)
+        tensor = np.array(r["log_mel"]).reshape(audio.FRAMES, audio.MELS)
+        assert np.allclose(tensor[:n], mel, atol=1e-4) and not tensor[n:].any()
+
+
+def test_a_long_clip_takes_no_more_memory(spark):
+    """Twenty minutes in blocks: beside its bytes about as much as a minute takes."""
+    import tracemalloc
+
+    t = np.arange(22_050 * 60)
+    minute = (8000 * np.sin(t / 7) * (t % 400_000 < 250_000)).astype("<i2").tobytes()
+    peaks = []
+    for pcm in (minute, minute * 20):
+        tracemalloc.start()
+        n = sum(1 for _ in audio.clip_tensors(pcm))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert n > 150 * len(pcm) // len(minute)
+    assert peaks[1] < peaks[0] + 20e6 and peaks[1] < 150e6
 
 
 def test_hysteresis_segments():
@@ -149,18 +213,22 @@ def test_audio_tables_and_tensors(spark, tmp_path):
     clips = spark.createDataFrame([(i, None if p is None else bytearray(p), "x") for i, p in rows], "page_id int, pcm binary, segment string")
     got = audio.audio_features(clips, "page_id", "pcm").collect()
     assert {r["id"] for r in got} == {1, None, 6}
-    one = audio.clip_tensors(tone)
+    one = list(audio.clip_tensors(tone))
     mine = [r for r in got if r["id"] is None]
     assert len(mine) == len(one) and {r["segment"] for r in mine} == {0, 1}
     for r, (s, p, a, b, n, tensor) in zip(mine, one, strict=True):
         assert (r["segment"], r["part"], r["start_s"], r["end_s"], r["n_frames"]) == (s, p, a, b, n)
-        assert np.allclose(r["log_mel"], tensor.reshape(-1), atol=1e-2) and not tensor[n:].any()
+        assert np.allclose(r["log_mel"], tensor.reshape(-1), atol=1e-5) and not tensor[n:].any()
     assert one[0][2] == 0 and one[-1][3] == pytest.approx(1.0, abs=0.01)
     features = audio.audio_features(clips, "page_id", "pcm")
     tensors = audio.as_tensors(features.toArrow().column("log_mel"))
     assert tensors.type.shape == [audio.FRAMES, audio.MELS] and tensors.to_numpy_ndarray().shape[1:] == (audio.FRAMES, audio.MELS)
     files = audio.write_tensors(features, f"file://{tmp_path}/t").collect()
     assert sum(f["n_tensors"] for f in files) == len(got)
+    back = audio.read_tensors(audio.write_tensors(features, f"file://{tmp_path}/u"), features.schema)
+    row = lambda r: (r["id"] or 0, r["segment"], r["part"], r["start_s"], r["n_frames"], tuple(r["log_mel"]))
+    assert back.schema == features.schema and sorted(map(row, back.collect())) == sorted(map(row, got))
+    assert audio.read_tensors(audio.write_tensors(features.limit(0), f"file://{tmp_path}/v"), features.schema).count() == 0
     with pa.memory_map(files[0]["path"].removeprefix("file://")) as f:
         assert isinstance(pa.ipc.open_file(f).schema.field("log_mel").type, pa.FixedShapeTensorType)
     assert audio.audio_features(clips.limit(0), "page_id", "pcm").count() == 0
