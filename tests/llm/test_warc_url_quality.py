@@ -41,12 +41,63 @@ def test_many_records_plain_and_zipped(zipped):
     data = b"".join(parts) if zipped == "none" else gzip.compress(b"".join(parts)) if zipped == "whole" else b"".join(map(gzip.compress, parts))
     rows = stream(data, 10)
     assert [r[3] for r in rows if r[7]] == [0, 7, 14, 21, 28]
-    assert stream(b"") == [] and stream(b"not a warc") == []
+    assert stream(b"") == [] and [(r[3], r[-1]) for r in stream(b"not a warc")] == [(10, "junk")]
 
 
 def test_a_torn_record_has_no_last_chunk():
     rows = stream(record(b"0123456789")[:-8])
     assert rows and not any(r[7] for r in rows)
+    assert (rows[-1][0], rows[-1][3], rows[-1][-1]) == ("urn:x", 4, "cut") and rows[-1][10] is None
+    head = record(b"payload", "response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n")
+    for k in range(1, len(head) - 4):
+        rows = stream(head[:k])
+        assert not any(r[7] for r in rows) and rows[-1][-1] in ("cut", "junk")
+
+
+def outcome(rows):
+    return [r[-1] or r[10] for r in rows if r[-1] or r[7]]
+
+
+@pytest.mark.parametrize("length", ["abc", "-5", "", "1e3", "9" * 30, None])
+def test_a_record_without_a_length_costs_only_itself(length):
+    bad = record(b"bad").replace(b"Content-Length: 3\r\n", b"" if length is None else f"Content-Length: {length}\r\n".encode())
+    rows = stream(record(b"one") + bad + record(b"two"), 100)
+    assert outcome(rows) == [b"one", "length", "junk", b"two"]
+    assert [r[0] for r in rows] == ["urn:x", "urn:x", None, "urn:x"] and rows[2][3] == len(b"bad\r\n")
+
+
+def test_junk_between_records_is_counted():
+    junk = b"junk\nWARC/ is no head\n" + b"z" * 500_000 + b"\n"
+    rows = stream(record(b"one") + junk + record(b"two") + b"tail", 100)
+    assert outcome(rows) == [b"one", "junk", b"two", "junk"] and [r[3] for r in rows if r[-1]] == [len(junk), 4]
+    short = record(b"four").replace(b"Content-Length: 4", b"Content-Length: 2")
+    assert outcome(stream(short + record(b"two"), 100)) == [b"fo", "junk", b"two"]
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_heads_of_any_length(zipped):
+    one = record(b"one", extra="X-Long: " + "y" * 3_000_000 + "\r\n folded " + "z" * 2_000_000 + "\r\n").replace(b"http://a/", b"http://a/" + b"u" * 1_500_000)
+    http = record(b"two", "response", b"HTTP/1.1 200 OK\r\nA: " + b"b" * 2_000_000 + b"\r\n\r\n")
+    data = one + http + record(b"three")
+    rows = stream(gzip.compress(data) if zipped else data, 100)
+    assert outcome(rows) == [b"one", b"two", b"three"] and len(rows[0][2]) == 1_500_009 and rows[1][3] == 3
+    folded = record(b"x").replace(b"WARC-Target-URI: http://a/", b"WARC-Target-URI: http://a/\r\n  b")
+    assert stream(folded, 100)[0][2] == "http://a/ b"
+
+
+def test_broken_gzip_members_cost_only_themselves():
+    members = [gzip.compress(record(bytes([65 + k]) * 30_000 + hashlib.sha256(bytes([k])).digest() * 2000), mtime=0) for k in range(4)]
+    whole = [b for r in stream(b"".join(members), 1 << 20) for b in [r[10]]]
+    assert len(whole) == 4
+    for at in (0, 3, 12, 100, len(members[1]) // 2, len(members[1]) - 5):
+        bad = bytearray(members[1])
+        bad[at] ^= 0xFF
+        rows = stream(members[0] + bytes(bad) + b"".join(members[2:]), 1 << 20)
+        good = [r[10] for r in rows if r[7]]
+        assert good[0] == whole[0] and good[-2:] == whole[2:] and "unpack" in outcome(rows), at
+    assert outcome(stream(members[0] + b"\0" * 300_000 + members[1], 1 << 20)) == whole[:2]
+    torn = stream(members[0] + members[1][:200], 1 << 20)
+    assert torn[0][10] == whole[0] and torn[-1][-1] == "unpack"
 
 
 class Endless(io.RawIOBase):
@@ -71,6 +122,17 @@ def test_long_payloads_are_read_in_small_parts():
     assert source.longest <= 1 << 20
 
 
+def test_a_long_page_through_spark(spark, tmp_path):
+    text = "0123456789é" * 2_000_000
+    pages = spark.createDataFrame([(1, "http://a/" + "u" * 2_000_000, text), (2, "http://b", "after")], PAGES).coalesce(1)
+    got = warc.read_warc_chunks(warc.write_warc(pages, f"file://{tmp_path}/w", "page_id", "url", "html")).drop("chunk", "target_uri").collect()
+    data = text.encode()
+    assert not any(r["problem"] for r in got) and sum(r["n_bytes"] for r in got) == len(data) + 5
+    assert {r["payload_bytes"]: r["sha256_so_far"] for r in got if r["is_last"]} == {len(data): hashlib.sha256(data).hexdigest(), 5: hashlib.sha256(b"after").hexdigest()}
+    assert all(r["digest_ok"] for r in got if r["is_last"])
+    assert warc.write_warc(pages.limit(0), f"file://{tmp_path}/e", "page_id", "url", "html").count() == 0
+
+
 def test_write_and_read_with_nulls_and_clashing_columns(spark, tmp_path):
     rows = [(1, "http://a", "é" * 50), (2, None, None), (None, "http://b\r\nX: y", ""), (4, "u", "x" * 200), (4, "u", "x" * 200)]
     pages = spark.createDataFrame([(*r, "p", "q") for r in rows], PAGES + ", path string, chunk_no string")
