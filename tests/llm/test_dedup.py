@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import line_dedup, simhash
 from gleaner.llm.components import connected_components
@@ -64,8 +65,8 @@ def test_fingerprints_by_hand():
 
     made = simhash.Fingerprinter(2)
     words = ["alphabet", "another", "thirdword"]
-    votes = sum(np.unpackbits(np.frombuffer(hashlib.shake_128(w.encode()).digest(16), np.uint8)).astype(int) for w in words)
-    bits = votes * 2 > 3
+    votes = sum(len(w) * np.unpackbits(np.frombuffer(hashlib.shake_128(w.encode()).digest(16), np.uint8)).astype(int) for w in words + ["of"])
+    bits = votes * 2 > 8 + 7 + 9 + 2
     bits[::64] = False
     assert (made.one("Alphabet, of another THIRDWORD alphabet") == np.packbits(bits).view(">i8")).all()
     assert made.one(None) is None and made.one(" \n") is None and (made.one("a bc") >= 0).all() and made.one("!!!") is not None
@@ -92,17 +93,61 @@ def test_groups_against_brute_force(spark, documents):
 
 
 def test_pairs_closer_than_the_number_of_blocks_are_all_found(spark):
-    rng = np.random.default_rng(2)
+    rows = flipped(np.random.default_rng(2), [simhash.WORDS * simhash.PER_WORD - 1] * 100)
+    prints = spark.createDataFrame(rows, PRINTS)
+    assert {(r["a"], r["b"], r["distance"]) for r in simhash.near_pairs(prints).collect()} == {(2 * k, 2 * k + 1, simhash.WORDS * simhash.PER_WORD - 1) for k in range(100)}
+
+
+def flipped(rng, distances):
+    """Rows (rep, f0, ...) of pairs 2k and 2k + 1 that differ in so many random bits."""
     rows = []
-    for k in range(100):
+    for k, d in enumerate(distances):
         bits = rng.integers(0, 2, 64 * simhash.WORDS).astype(bool)
         bits[::64] = False
         other = bits.copy()
-        at = rng.choice(np.flatnonzero(np.arange(64 * simhash.WORDS) % 64), simhash.WORDS * simhash.PER_WORD - 1, replace=False)
-        other[at] ^= True
+        other[rng.choice(np.flatnonzero(np.arange(64 * simhash.WORDS) % 64), d, replace=False)] ^= True
         rows += [(2 * k + j, *np.packbits(b).view(">i8").astype(int).tolist()) for j, b in enumerate((bits, other))]
-    prints = spark.createDataFrame(rows, "rep bigint, " + ", ".join(f"f{k} bigint" for k in range(simhash.WORDS)))
-    assert {(r["a"], r["b"], r["distance"]) for r in simhash.near_pairs(prints).collect()} == {(2 * k, 2 * k + 1, simhash.WORDS * simhash.PER_WORD - 1) for k in range(100)}
+    return rows
+
+
+PRINTS = "rep bigint, " + ", ".join(f"f{k} bigint" for k in range(simhash.WORDS))
+
+
+def test_recall_by_distance_up_to_the_threshold(spark):
+    most = int(simhash.MAX_SHARE * 63 * simhash.WORDS)
+    bands = (60, 90, 120, 130, 140, most, most + 1)
+    rows = flipped(np.random.default_rng(7), [d for d in bands for _ in range(300)])
+    found = defaultdict(int)
+    for r in simhash.near_pairs(spark.createDataFrame(rows, PRINTS)).collect():
+        assert (r["a"] ^ 1) == r["b"] and r["distance"] == bands[r["a"] // 600]
+        found[r["distance"]] += 1
+    assert found[most + 1] == 0 and all(found[d] >= 0.9 * 300 for d in bands[:-1]) and found[60] == found[90] == 300
+
+
+def test_every_bit_is_in_one_block_of_either_cut(spark):
+    rows = [(bit, *[1 << (bit % 63) if k == bit // 63 else 0 for k in range(simhash.WORDS)]) for bit in range(63 * simhash.WORDS)]
+    keys = spark.createDataFrame(rows, PRINTS).select(F.array(*simhash.block_keys()).alias("k")).collect()
+    at = [[n for n, v in enumerate(r["k"]) if v & ((1 << 21) - 1)] for r in keys]
+    assert all(len(x) == 2 and x[0] < 48 <= x[1] for x in at) and {v >> 21 for r in keys for v in r["k"]} == set(range(96))
+
+
+def test_a_hot_block_is_compared_tile_by_tile(spark):
+    """Two hundred rows that share every block but one, in tiles of seven, give all their pairs."""
+    rng = np.random.default_rng(9)
+    rows = [(k, *[int(rng.integers(0, 1 << 63)) if j == 3 else j for j in range(simhash.WORDS)]) for k in range(200)]
+    far = [(1000 + k, *rng.integers(0, 1 << 63, simhash.WORDS).tolist()) for k in range(50)]
+    got = simhash.near_pairs(spark.createDataFrame(rows + far, PRINTS), tile=7).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(a, b) for b in range(200) for a in range(b)}
+
+
+def test_links_are_counted(spark, documents):
+    rng = random.Random(12)
+    base = prose(rng, 200)
+    near = [" ".join([*base[:k], "otherword", *base[k + 1 :]]) for k in (3, 90)]
+    rows = [(1, " ".join(base)), (2, near[0]), (3, near[1]), (4, near[1]), (5, " ".join(prose(rng, 100))), (6, None)]
+    got = {r["id"]: (r["group_id"], r["keep"], r["n_links"]) for r in simhash.near_duplicate_groups(documents(rows)).collect()}
+    assert got == {1: (1, True, 2), 2: (1, False, 2), 3: (1, False, 2), 4: (1, False, 2), 5: (5, True, 0), 6: (6, True, 0)}
+    assert simhash.near_duplicate_groups(documents(rows).limit(0)).count() == 0
 
 
 def test_one_of_each_group_stays(spark, documents):
