@@ -5,9 +5,12 @@ as it has letters, up to ``MAX_LETTERS``: long words tell texts apart, short one
 Each feature has as many hashed bits as the fingerprint; a bit is set if more than half of the weight sets it.
 Fingerprints hold ``words`` longs of 63 bits. They are cut into ``words * per_word`` blocks twice: once into
 runs of neighbouring bits, once into blocks that take a part from each of three longs. Two fingerprints that
-differ in fewer bits than there are blocks share a block of either cut, so the join on blocks finds them for certain.
-Farther ones are found if any block of the two cuts is untouched: if the bits differ at random, 0.99 of the pairs at 13 %
-and 0.95 at ``MAX_SHARE``, beyond which no pair counts. (Blocks so narrow that pigeons alone reach ``MAX_SHARE`` would hold six
+differ in fewer bits than a cut has blocks share a block of either cut. Each block has a second key against chance, another
+long, in which a pair may differ by three standard deviations more bits than one at ``MAX_SHARE`` does (``second_key_bits``, 18). Pairs
+of up to 41 bits are found for certain: a second key that fails them takes 19 bits and three blocks of a cut, so of the first
+cut's 48 blocks a pair of d bits loses d, and 3 more for each 19 bits. Farther ones are found if any block of the two cuts is untouched: as the
+bits are signs of independent random sums they differ at random, and 0.99 of the pairs at 13 % and 0.95 at ``MAX_SHARE``
+are found, beyond which no pair counts. (Blocks so narrow that pigeons alone reach ``MAX_SHARE`` would hold six
 bits, and every block a fiftieth of the corpus.) All rows that share a block are compared, in tiles, so that
 a block of any size is many tasks.
 
@@ -22,6 +25,7 @@ Wider blocks make fewer chance candidates: a corpus of billions wants ``words=24
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -50,32 +54,33 @@ _ROWS = 1024
 TILE = 1024
 
 
+class _Bits(dict):
+    """Rows of a table of hashed bits by feature; a feature that isn't there yet gets the next one."""
+
+    def __init__(self, words: int) -> None:
+        self.size, self.table = words * 8, np.zeros((_CACHE_WORDS, words * 8), np.uint8)
+
+    def __missing__(self, feature: str) -> int:
+        n = self[feature] = len(self)
+        self.table[n] = np.frombuffer(hashlib.shake_128(feature.encode("utf-8", "surrogatepass")).digest(self.size), np.uint8)
+        return n
+
+
 class Fingerprinter:
     """Fingerprints of batches of texts; the hashed bits of recent words are kept packed."""
 
     def __init__(self, words: int) -> None:
-        self.words = words
-        self.table = np.zeros((_CACHE_WORDS, words * 8), np.uint8)
-        self.at: dict[str, int] = {}
-
-    def _index(self, features: list[str]) -> np.ndarray:
-        at, out = self.at, np.empty(len(features), np.int64)
-        for k, w in enumerate(features):
-            i = at.get(w)
-            if i is None:
-                i = at[w] = len(at)
-                self.table[i] = np.frombuffer(hashlib.shake_128(w.encode("utf-8", "surrogatepass")).digest(self.words * 8), np.uint8)
-            out[k] = i
-        return out
+        self.words, self.at = words, _Bits(words)
 
     def _votes(self, features: list[str], weights: np.ndarray) -> np.ndarray:
-        total = np.zeros(self.words * 64, np.float64)
+        """The weight that sets each bit, added up in 16 bits for ``_ROWS`` features at a time."""
+        total = np.zeros(self.words * 64, np.int64)
         for k in range(0, len(features), _ROWS):
             part = features[k : k + _ROWS]
             if len(self.at) + len(part) > _CACHE_WORDS:
                 self.at.clear()
-            # whole numbers below 2^24, so exact in any order
-            total += weights[k : k + _ROWS] @ np.unpackbits(self.table[self._index(part)], axis=1).astype(np.float32)
+            bits = np.unpackbits(self.at.table[np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))], axis=1)
+            total += np.einsum("i,ij->j", weights[k : k + _ROWS].astype(np.uint16), bits, dtype=np.uint16, casting="unsafe")
         return total
 
     def one(self, text: str | None) -> np.ndarray | None:
@@ -85,8 +90,8 @@ class Fingerprinter:
         for piece in pieces(text):
             found.update(WORD.findall(piece.lower()))
         features = list(found) or [text.strip()]
-        weights = np.minimum(np.fromiter(map(len, features), np.float32, len(features)), MAX_LETTERS)
-        bits = self._votes(features, weights) * 2 > weights.sum(dtype=np.float64)
+        weights = np.minimum(np.fromiter(map(len, features), np.int64, len(features)), MAX_LETTERS)
+        bits = self._votes(features, weights) * 2 > weights.sum()
         bits[::64] = False
         return np.packbits(bits).view(">i8").astype(np.int64)
 
@@ -194,19 +199,27 @@ def block_keys(words: int = WORDS, per_word: int = PER_WORD) -> list[Column]:
     return [key + F.lit(n << width).cast("long") for n, key in enumerate(keys)]
 
 
+def second_key_bits(max_share: float = MAX_SHARE) -> int:
+    """Bits in which the second keys of a pair may differ: at ``max_share`` one pair in a thousand exceeds it by chance, and
+    meets in other blocks."""
+    return math.ceil(63 * max_share + 3 * math.sqrt(63 * max_share * (1 - max_share)))
+
+
 def near_pairs(prints: DataFrame, words: int = WORDS, per_word: int = PER_WORD, max_share: float = MAX_SHARE, tile: int = TILE) -> DataFrame:
     """``(a, b, distance)`` for the pairs a < b of rows ``(rep, f0, ...)``, rep a number, that share
     a block and differ in at most ``max_share`` of the bits. Every row is compared with all that
-    share a block with it, however many: the rows of a block are numbered, and each tile of them meets each other in a task of its
+    share a block and a second key near its own, however many: the rows of a block are numbered, and each tile of them meets each other in a task of its
     own. Blocks of one row, which are most, go before anything is joined."""
-    blocks = prints.select("rep", F.explode(F.array(*block_keys(words, per_word))).alias("block"))
+    second = second_key_bits(max_share)
+    keys = [F.struct(key.alias("block"), F.col(f"f{(n // per_word + 1) % words}").alias("other")) for n, key in enumerate(block_keys(words, per_word))]
+    blocks = prints.select("rep", F.explode(F.array(*keys)).alias("k")).select("rep", "k.block", "k.other")
     inside = Window.partitionBy("block")
     placed = blocks.withColumns({"n": F.count("*").over(inside), "at": F.row_number().over(inside.orderBy("rep"))}).where("n > 1")
     last = F.floor((F.col("n") - 1) / tile).cast("int")
-    placed = written(placed.select("rep", "block", F.floor((F.col("at") - 1) / tile).cast("int").alias("tile"), last.alias("last")), "shared-blocks")
-    x = placed.select("block", F.col("tile").alias("s"), F.explode(F.sequence("tile", "last")).alias("t"), F.col("rep").alias("a"))
-    y = placed.select("block", F.explode(F.sequence(F.lit(0), "tile")).alias("s"), F.col("tile").alias("t"), F.col("rep").alias("b"))
-    meet = x.join(y, ["block", "s", "t"]).where("a < b").select("a", "b").distinct()
+    placed = written(placed.select("rep", "block", "other", F.floor((F.col("at") - 1) / tile).cast("int").alias("tile"), last.alias("last")), "shared-blocks")
+    x = placed.select("block", F.col("tile").alias("s"), F.explode(F.sequence("tile", "last")).alias("t"), F.col("rep").alias("a"), F.col("other").alias("x"))
+    y = placed.select("block", F.explode(F.sequence(F.lit(0), "tile")).alias("s"), F.col("tile").alias("t"), F.col("rep").alias("b"), F.col("other").alias("y"))
+    meet = x.join(y, ["block", "s", "t"]).where("a < b").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= second).select("a", "b").distinct()
     near = meet.join(prints.alias("p"), F.col("a") == F.col("p.rep")).join(prints.alias("q"), F.col("b") == F.col("q.rep"))
     most = int(max_share * words * (63 // per_word) * per_word)
     return near.select("a", "b", _distance("p", "q", words).alias("distance")).where(F.col("distance") <= most)

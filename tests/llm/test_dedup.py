@@ -113,6 +113,23 @@ def flipped(rng, distances):
 PRINTS = "rep bigint, " + ", ".join(f"f{k} bigint" for k in range(simhash.WORDS))
 
 
+def test_pairs_that_crowd_into_second_keys_are_found(spark):
+    """41 bits, 19 of them in each of two longs and the rest one to a block, as badly placed as can be."""
+    rng, rows = np.random.default_rng(13), []
+    for k in range(60):
+        one = rng.integers(0, 1 << 63, simhash.WORDS)
+        two = one.copy()
+        crowded = rng.choice(simhash.WORDS, 2, replace=False)
+        for w in crowded:
+            for bit in rng.choice(63, 19, replace=False):
+                two[w] ^= 1 << int(bit)
+        for w in rng.choice([w for w in range(simhash.WORDS) if w not in crowded], 3, replace=False):
+            two[w] ^= 1 << int(rng.integers(63))
+        rows += [(2 * k, *one.tolist()), (2 * k + 1, *two.tolist())]
+    assert {(r["a"], r["b"], r["distance"]) for r in simhash.near_pairs(spark.createDataFrame(rows, PRINTS)).collect()} == {(2 * k, 2 * k + 1, 41) for k in range(60)}
+    assert simhash.second_key_bits() == 18 and all(48 - d > 3 * (d // 19) for d in range(42))
+
+
 def test_recall_by_distance_up_to_the_threshold(spark):
     most = int(simhash.MAX_SHARE * 63 * simhash.WORDS)
     bands = (60, 90, 120, 130, 140, most, most + 1)
@@ -134,7 +151,7 @@ def test_every_bit_is_in_one_block_of_either_cut(spark):
 def test_a_hot_block_is_compared_tile_by_tile(spark):
     """Two hundred rows that share every block but one, in tiles of seven, give all their pairs."""
     rng = np.random.default_rng(9)
-    rows = [(k, *[int(rng.integers(0, 1 << 63)) if j == 3 else j for j in range(simhash.WORDS)]) for k in range(200)]
+    rows = [(k, *[int(rng.integers(0, 1 << 9)) if j == 3 else j for j in range(simhash.WORDS)]) for k in range(200)]
     far = [(1000 + k, *rng.integers(0, 1 << 63, simhash.WORDS).tolist()) for k in range(50)]
     got = simhash.near_pairs(spark.createDataFrame(rows + far, PRINTS), tile=7).collect()
     assert {(r["a"], r["b"]) for r in got} == {(a, b) for b in range(200) for a in range(b)}
