@@ -225,7 +225,7 @@ def near_pairs(prints: DataFrame, words: int = WORDS, per_word: int = PER_WORD,
     return near.select("a", "b", _distance("p", "q", words).alias("distance")).where(F.col("distance") <= most)
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, per_word: int = PER_WORD, max_share: float = MAX_SHARE) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, per_word: int = PER_WORD, max_share: float = MAX_SHARE, only: DataFrame | None = None) -> DataFrame:
     """``(id, th, group_id, keep, n_links)`` for each row of ``docs``: the least id of its group of near
     duplicates, which are chains of near pairs, whether it is the one to stay, and of how many texts with
     another fingerprint or sketch its own is a near copy.
@@ -234,9 +234,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     id and text are one document; rows with the same id and different texts are ordered by a hash
     of the text. Texts of any length count whole, in pieces. An empty table has no groups. Only the id and the text are read, under new
     names, so other columns can't clash. Rows with equal fingerprints and sketches fall together before any pairs are made, so a group of any
-    number of exact copies costs one row. Other near pairs count if their sketches are similar. Such rows get numbers, which are kept by writing them."""
+    number of exact copies costs one row. Other near pairs count if their sketches are similar. Such rows get numbers, which are kept by writing them.
+    ``only``: ids (column ``id``) outside of which documents don't count."""
     names = [f"f{k}" for k in range(words)]
     marks = written(fingerprints(docs, id_col, text_col, words).withColumn("all", F.xxhash64(*names, "sketch")), "fingerprints")
+    if only is not None:
+        marks = marks.join(only.select("id"), "id", "left_semi")
     some = marks.where("id is not null and f0 is not null")
     key = F.struct("id", "th")
     firsts = some.groupBy("f0", "all").agg(F.min(key).alias("first"), *[F.first(n).alias(n) for n in [*names[1:], "sketch"]])
@@ -253,11 +256,25 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return grouped.unionByName(alone)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params: float) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", originals: DataFrame | None = None, **params: float) -> DataFrame:
     """``docs`` without the rows of which another of the group stays; of repeated rows (same id,
-    same text) one stays, unless their text is null or blank or their id is null. Columns stay as they are.
+    same text) one stays, unless their text is null or blank or their id is null. Columns stay as they are. Texts of any
+    length count whole; an empty table stays empty.
+
+    ``originals``: the documents as they were before lines were cut from them, which hides what is left of a near copy.
+    A document is judged by its text there, among the documents that ``docs`` still has. Documents with a null or repeated id
+    are judged by their text in ``docs``, among themselves.
 
     Only ids and hashes of the rows to drop are shuffled to the documents, which are hashed once."""
+    if originals is not None:
+        ids = lambda df: df.select(col(id_col).alias("id")).where("id is not null").groupBy("id").count().where("count = 1").select("id")
+        once = written(ids(docs).join(ids(originals), "id", "left_semi"), "ids")
+        gone = near_duplicate_groups(originals, id_col, text_col, only=once, **params).where(~F.col("keep")).select("id")
+        kept = docs.join(gone.hint("shuffle_hash"), col(id_col) == gone["id"], "left_anti")
+        rest = docs.join(once, col(id_col) == once["id"], "left_anti")
+        if docs.select(id_col).join(once, col(id_col) == once["id"], "left_anti").isEmpty():
+            return kept
+        return kept.join(once, col(id_col) == once["id"], "left_semi").unionByName(drop_near_duplicates(rest, id_col, text_col, **params))
     groups = written(near_duplicate_groups(docs, id_col, text_col, **params), "groups")
     named = F.col("id").isNotNull() & F.col("group_id").isNotNull()
     gone = groups.where(~F.col("keep")).select("id", "th").distinct()

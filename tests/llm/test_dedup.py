@@ -181,6 +181,20 @@ def test_one_of_each_group_stays(spark, documents):
     assert simhash.drop_near_duplicates(documents([(1, "word " * 400_000), (2, "other")])).count() == 2
 
 
+def test_near_copies_are_judged_by_their_originals(spark, documents):
+    """What line dedup leaves of a near copy resembles nothing, and goes all the same."""
+    rng = random.Random(14)
+    lines = [" ".join(prose(rng, 12)) for _ in range(20)]
+    near = [" ".join(edited(rng, x.split(), 0.1)) if k % 4 == 0 else x for k, x in enumerate(lines)]
+    whole = [(1, "\n".join(lines)), (2, "\n".join(near)), (3, " ".join(prose(rng, 90))), (4, "\n".join(near)), (None, "\n".join(lines)), (5, "toxic"), (6, "a"), (6, "b")]
+    cut = [(1, "\n".join(lines)), (2, "\n".join(near[::4])), (3, whole[2][1]), (None, whole[0][1]), (6, "a"), (6, "b")]
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(documents(cut)).collect()} == {1, 2, 3, None, 6}
+    got = simhash.drop_near_duplicates(documents(cut), originals=documents(whole)).collect()
+    assert sorted(r["doc_id"] or 0 for r in got) == [0, 1, 3, 6, 6] and got[0].asDict().keys() == set(documents(cut).columns)
+    alone = simhash.drop_near_duplicates(documents(cut[1:3]), originals=documents(whole)).collect()
+    assert {r["doc_id"] for r in alone} == {2, 3}
+
+
 def test_many_copies(spark, documents):
     rng = random.Random(4)
     base = prose(rng, 150)

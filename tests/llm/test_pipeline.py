@@ -36,7 +36,7 @@ def test_every_stage_against_plain_python(spark, tmp_path):
     lines = brute_lines(left)
     left = [(i, lines[i]) for i, t in left if lines[i].strip()]
     assert sum(passage in t for _, t in left) == 1
-    _, groups = brute_groups(left)
+    _, groups = brute_groups([(i, dict(rows)[i]) for i, _ in left])
     left = [(i, t) for i, t in left if groups[i] == i]
     assert not copies & {i for i, _ in left}
     encode = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode
