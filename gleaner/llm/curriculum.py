@@ -25,10 +25,12 @@ SCHEDULE: Schedule = {
     "src1": [(0.0, 0.5), (1.0, 3.0)],
     "src2": [(0.0, 2.0), (0.5, 0.5), (1.0, 0.0)],
 }
-MAX_EPOCHS = 4
-#: Parts of each source that are summed and ordered apart, so that a hot source has as many tasks
-#: as there are cores.
+#: Uses of a document from which a schedule counts as a mistake: a source is far too small for its weight.
+MOST_USES = 10_000
+#: Each source is summed and ordered in at least so many parts, so that a hot source has as many tasks as there
+#: are cores, and in so many more that a part has about ``BUCKET_ROWS`` documents.
 BUCKETS = 4096
+BUCKET_ROWS = 20_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -78,20 +80,23 @@ def _position(demand: Column, curve: Column, budget: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), a["t"] + F.when(root > 0, 2 * y / root).otherwise(0.0)))
 
 
-def mix(docs: DataFrame, schedule: Schedule | None = SCHEDULE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: int | None = None, max_epochs: int = MAX_EPOCHS, buckets: int = BUCKETS, position: str = "position", epoch: str = "epoch") -> DataFrame:
+def mix(docs: DataFrame, schedule: Schedule | None = SCHEDULE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: int | None = None, max_epochs: int | None = None, buckets: int | None = None, position: str = "position", epoch: str = "epoch") -> DataFrame:
     """``docs`` in training order: sorted by position, over and within partitions.
 
     Adds the position and the epoch (0 for a document's first use). ``budget`` tokens (by default
     as many as there are) are asked for; a source that has more than its demand loses the rest, in order of a hash of the id,
-    and one that has less is used up to ``max_epochs`` times. ``schedule=None``: ``natural_schedule``.
+    and one that has less is used as often as it takes, so every target is met; a source that would take more than ``MOST_USES``
+    uses is an error. ``max_epochs`` bounds the uses instead; what sources then lack is in ``shortfall``. ``schedule=None``: ``natural_schedule``.
 
     Null sources count as the source ''. Null or empty texts have no tokens and stay beside their
     neighbour in the hash order, unless nothing of their source is wanted. Repeated rows are separate documents. Ties in the hash fall to the id,
-    then to a hash of the text. An empty table gives an empty one.
+    then to a hash of the text. An empty table gives an empty one. Long texts are counted whole. Helper columns get names that no column has; columns named
+    as the position or the epoch are replaced.
 
     Running sums are taken in buckets of the hash, and only the buckets' sums are summed over a
     source. The documents are shuffled twice: by bucket, and by position."""
     spark = docs.sparkSession
+    buckets = buckets or min(1 << 24, max(BUCKETS, 1 << (docs.count() // BUCKET_ROWS).bit_length()))
     src, order, bucket, tokens, th, base, curve, supply_c, run = fresh(docs, "src", "order", "bucket", "tokens", "th", "base", "curve", "supply", "run")
     rows = docs.withColumns({src: F.coalesce(col(source_col).cast("string"), F.lit("")), order: F.md5(F.coalesce(col(id_col).cast("string"), F.lit(""))), tokens: n_tokens(col(text_col))})
     rows = rows.withColumn(bucket, F.conv(F.substring(order, 1, 6), 16, 10).cast("long") * buckets / F.lit(1 << 24)).withColumn(bucket, F.floor(bucket).cast("int"))
@@ -100,6 +105,9 @@ def mix(docs: DataFrame, schedule: Schedule | None = SCHEDULE, id_col: str = "do
     supply = {s: float(n) for s, (n, _) in have.items()}
     total = float(budget if budget is not None else sum(supply.values())) or 1.0
     curves = knots(natural_schedule(supply, {s: n for s, (_, n) in have.items()}) if schedule is None else schedule, supply, total)
+    uses = {s: curves[s][-1][2] / n for s, n in supply.items() if n}
+    if max_epochs is None and max(uses.values(), default=0) > MOST_USES:
+        raise ValueError(f"sources are too small for their weights: {sorted(s for s, n in uses.items() if n > MOST_USES)}")
     plan = spark.createDataFrame([(s, k, supply[s]) for s, k in curves.items()], f"`{src}` string, `{curve}` array<struct<t: double, w: double, d: double>>, `{supply_c}` double")
     before = F.coalesce(F.sum(tokens).over(Window.partitionBy(src).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(src, bucket, before.alias(base)).join(plan, src)
@@ -108,7 +116,8 @@ def mix(docs: DataFrame, schedule: Schedule | None = SCHEDULE, id_col: str = "do
     placed = placed.withColumn(run, F.col(base) + F.sum(tokens).over(within) - F.col(tokens) / 2)
     last = F.element_at(F.col(curve), -1)["d"]
     used = (last > 0) | (F.lit(schedule is None) & (F.col(supply_c) == 0))
-    epochs = F.filter(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda e: (F.col(run) + e * F.col(supply_c) <= last * (1 + 1e-9)) & used & ((e == 0) | (F.col(tokens) > 0)))
+    most = F.lit(max_epochs - 1) if max_epochs is not None else F.when(F.col(supply_c) > 0, F.ceil(last / F.col(supply_c))).otherwise(0).cast("int")
+    epochs = F.filter(F.sequence(F.lit(0), most), lambda e: (F.col(run) + e * F.col(supply_c) <= last * (1 + 1e-9)) & used & ((e == 0) | (F.col(tokens) > 0)))
     placed = placed.withColumn(epoch, F.explode(epochs))
     placed = placed.withColumn(position, _position(F.col(run) + F.col(epoch) * F.col(supply_c), F.col(curve), total))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -117,6 +126,16 @@ def mix(docs: DataFrame, schedule: Schedule | None = SCHEDULE, id_col: str = "do
     return ranged.sortWithinPartitions(position, order, col(id_col)).drop(order)
 
 
+def shortfall(docs: DataFrame, schedule: Schedule = SCHEDULE, text_col: str = "text", source_col: str = "source", budget: int | None = None, max_epochs: int = 1) -> DataFrame:
+    """``(source, supply, demand, uses, unmet)`` in tokens: how often each source would have to be used, and what
+    of its demand ``max_epochs`` uses leave open. Null sources count as ''. No documents: no rows."""
+    rows = docs.select(F.coalesce(col(source_col).cast("string"), F.lit("")).alias("source"), n_tokens(col(text_col)).alias("n"))
+    supply = {r[0]: float(r[1]) for r in rows.groupBy("source").agg(F.sum("n")).collect()}
+    curves = knots(schedule, supply, float(budget if budget is not None else sum(supply.values())))
+    out = [(s, n, curves[s][-1][2], curves[s][-1][2] / n if n else 0.0, max(0.0, curves[s][-1][2] - max_epochs * n)) for s, n in supply.items()]
+    return docs.sparkSession.createDataFrame(out, "source string, supply double, demand double, uses double, unmet double")
+
+
 def op5_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that the schedule uses, in training order."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -139,7 +158,8 @@ norm AS (SELECT source, t, w / sum(w) OVER (PARTITION BY t) AS w FROM raw),
 seg AS (SELECT source, t AS t0, w AS w0, lead(t) OVER k AS t1, lead(w) OVER k AS w1 FROM norm WINDOW k AS (PARTITION BY source ORDER BY t)),
 area AS (SELECT *, (t1 - t0) * (w0 + w1) / 2 AS a, sum((t1 - t0) * (w0 + w1) / 2) OVER (PARTITION BY source ORDER BY t0) AS upto,
   sum((t1 - t0) * (w0 + w1) / 2) OVER (PARTITION BY source) AS whole FROM seg WHERE t1 IS NOT NULL),
-used AS (SELECT run.*, CAST(e.epoch AS INTEGER) AS epoch, c + e.epoch * supply AS x FROM run, range(4) e(epoch)
+most AS (SELECT source, CASE WHEN min(supply) > 0 THEN CAST(ceil(max(whole) * min(budget) / min(supply)) AS BIGINT) ELSE 0 END AS m FROM area JOIN run USING (source) GROUP BY source),
+used AS (SELECT run.*, CAST(e.epoch AS INTEGER) AS epoch, c + e.epoch * supply AS x FROM run JOIN (SELECT source, unnest(range(m + 1)) AS epoch FROM most) e USING (source)
   WHERE e.epoch = 0 OR tokens > 0),
 hit AS (SELECT used.*, t0, w0, (w1 - w0) / (t1 - t0) AS slope, (x - (upto - a) * budget) / budget AS y
   FROM used JOIN area USING (source)

@@ -26,7 +26,7 @@ TRAIN_ROWS = 8192
 #: Lengths of the prefixes that are features too, so that inflected and compound words count.
 PREFIXES = (4, 5, 6, 7)
 #: Words and prefixes that fewer of the training documents hold have no weight.
-MIN_DOCS = 10
+MIN_DOCS = 5
 #: A word has a weight only if the log-likelihood ratio of the label and the word's presence in
 #: the training documents reaches this, which chance alone rarely does among some thousand words.
 MIN_RATIO = 20.0
@@ -192,7 +192,6 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     cols = codes.indices.to_numpy()
     values = pa.compute.list_flatten(table.column("rates").combine_chunks()).to_numpy()
     del table, lists
-    n, least = len(flags), min(min_docs, max(3, len(flags) // 100))
     names: list[str] = []
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for size in (0, *PREFIXES):
@@ -208,7 +207,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         v = np.add.reduceat(values[some][order], first, dtype=np.float64) if len(first) else np.zeros(0)
         r, c = keys[first] // max(1, width), keys[first] % max(1, width)
         del keys, order
-        ok = (np.bincount(c, minlength=width) >= least) & (telling(r, c, flags, width) >= min(MIN_RATIO, n / 10))
+        ok = (np.bincount(c, minlength=width) >= min_docs) & (telling(r, c, flags, width) >= MIN_RATIO)
         keep = ok[c]
         found.append((r[keep], (np.cumsum(ok) - 1)[c[keep]] + len(names), v[keep]))
         names += [w + "*" * bool(size) for w in starts.dictionary.filter(pa.array(ok)).to_pylist()]
@@ -223,8 +222,9 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def with_severity(docs: DataFrame, model: OrdinalModel, text_col: str = "text", name: str = "severity") -> DataFrame:
     """``docs`` and a struct: the expected severity, the likeliest grade, and whether the
-    probability of a grade above 0 reaches ``REJECT``. Null, empty and wordless texts score like a text without known words;
-    a column that has the name is replaced."""
+    probability of a grade above 0 reaches ``REJECT``. Null, empty and wordless texts score like a text without known words. Long texts
+    count whole, in pieces. Repeated rows stay, each with the same struct; of grades equally likely the least is taken; an empty table stays empty. Only the
+    text goes through Python, so no column can clash but one that has the name, which is replaced."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("expected", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("rejected", T.BooleanType())])
@@ -241,7 +241,8 @@ def with_severity(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params: object) -> DataFrame:
-    """``docs`` without the rows that a model of ``labels`` rejects; columns stay as they are."""
+    """``docs`` without the rows that a model of ``labels`` rejects; columns stay as they are, and their names can't clash. Null and
+    empty texts stay, repeated rows stay or go together, long texts count whole, and no documents or no labels drop nothing."""
     (name,) = fresh(docs, "severity")
     scored = with_severity(docs, fit_severity(docs, labels, id_col, text_col, **params), text_col, name)
     return scored.where(~F.col(f"{name}.rejected")).drop(name)

@@ -87,6 +87,53 @@ def test_graded_labels(spark, documents):
     assert sum(got[i]["grade"] == g for i, g in labels) >= 0.95 * len(labels)
 
 
+def test_fit_and_scores_against_plain_python(spark, documents):
+    """Features, their selection, grades and scores, one document and one word at a time."""
+    import math
+
+    rows, labels = corpus(250, 9)
+    flag = dict(labels)
+    held = {}
+    for i, text in rows:
+        words = text.lower().split()
+        counts = {}
+        for w in words:
+            for f in [w, *[w[:n] + "*" for n in toxicity.PREFIXES if len(w) >= n]]:
+                counts[f] = counts.get(f, 0) + 100 / len(words)
+        held[i] = counts
+
+    def ratio(f):
+        total = 0.0
+        for on in (0, 1):
+            for has in (False, True):
+                n = sum((f in held[i]) == has and flag[i] == on for i in held)
+                if n:
+                    total += 2 * n * math.log(n * len(held) / (sum(flag[i] == on for i in held) * sum((f in held[i]) == has for i in held)))
+        return total
+
+    docs_with = {}
+    for c in held.values():
+        for f in c:
+            docs_with[f] = docs_with.get(f, 0) + 1
+    chosen = {f for f, n in docs_with.items() if n >= toxicity.MIN_DOCS and ratio(f) >= toxicity.MIN_RATIO}
+    model = toxicity.fit_severity(documents(rows), table(spark, labels))
+    assert set(model.weights) == chosen and len(chosen) >= 4
+    n1 = sum(flag.values())
+    often = {f for f in chosen if (sum(f in held[i] for i in held if flag[i]) + 0.5) / (n1 + 1) >= 8 * (sum(f in held[i] for i in held if not flag[i]) + 0.5) / (len(held) - n1 + 1)}
+    rate = {i: sum(v for f, v in c.items() if f in often) for i, c in held.items()}
+    middle = np.median([v for i, v in rate.items() if flag[i] and v > 0])
+    grades = {i: 0 if not flag[i] else 2 if rate[i] > middle else 1 for i in held}
+    score = {i: sum(v * model.weights.get(f, 0.0) for f, v in c.items()) for i, c in held.items()}
+    got = {r["doc_id"]: r["severity"] for r in toxicity.with_severity(documents(rows), model).collect()}
+    right = 0
+    for i in held:
+        below = [1 / (1 + math.exp(score[i] - c)) for c in model.cuts]
+        p = [below[0], below[1] - below[0], 1 - below[1]]
+        assert got[i]["expected"] == pytest.approx(p[1] + 2 * p[2], abs=1e-6) and got[i]["grade"] == p.index(max(p)) and got[i]["rejected"] == (1 - p[0] >= toxicity.REJECT)
+        right += got[i]["grade"] == grades[i]
+    assert right >= 0.9 * len(held)
+
+
 def test_toxicity_edges(spark, documents):
     rows, labels = corpus(300, 4)
     model = toxicity.fit_severity(documents(rows), table(spark, labels))
@@ -103,7 +150,7 @@ def test_toxicity_edges(spark, documents):
     assert toxicity.fit_severity(documents(rows), twice).cuts == pytest.approx(model.cuts)
 
 
-def walk(rows, schedule, budget=None, max_epochs=4):
+def walk(rows, schedule, budget=None, max_epochs=50):
     """Positions by numeric integration and bisection, source by source."""
     tokens = lambda t: len(t.split()) if t else 0
     sources = sorted({s for _, _, s in rows})
@@ -128,6 +175,20 @@ def walk(rows, schedule, budget=None, max_epochs=4):
     return out, budget
 
 
+def test_small_sources_meet_their_targets(spark, documents):
+    """No use of a document is the last but the one that meets the weight; a bound's shortfall is reported."""
+    rows = [(k, "w " * 10, "big") for k in range(90)] + [(100 + k, "w " * 10, "small") for k in range(3)]
+    schedule = {"big": [(0, 1), (1, 1)], "small": [(0, 1), (1, 1)]}
+    got = curriculum.mix(documents(rows), schedule).collect()
+    tokens = {s: sum(10 for r in got if r["source"] == s) for s in ("big", "small")}
+    assert abs(tokens["small"] - 465) <= 10 and abs(tokens["big"] - 465) <= 10 and max(r["epoch"] for r in got) == 15
+    lack = {r["source"]: r["unmet"] for r in curriculum.shortfall(documents(rows), schedule, max_epochs=4).collect()}
+    assert lack == {"big": 0.0, "small": 345.0}
+    assert sum(r["source"] == "small" for r in curriculum.mix(documents(rows), schedule, max_epochs=4).collect()) == 12
+    with pytest.raises(ValueError, match="too small"):
+        curriculum.mix(documents([*[(k, "w " * 9000, "big") for k in range(9)], (99, "w", "small")]), schedule)
+
+
 def mixed_rows(seed, n=400):
     rng = random.Random(seed)
     return [(i, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["src0", "src0", "src0", "src1", "src2", "src3"])) for i in range(n)]
