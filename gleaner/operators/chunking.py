@@ -9,10 +9,13 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.storage import spread
+
 CHUNK, OVERLAP, SNAP = 512, 256, 64
 WINDOW, STRIDE = 384, 192
 _CHUNKS = "wal_entry_id bigint, source_path string, chunk_id int, byte_start bigint, byte_end bigint, line_start int, line_end int, text string"
@@ -24,7 +27,7 @@ def chunk_spans(data: bytes, size: int = CHUNK, overlap: int = OVERLAP, snap: in
     start of a character."""
     size, n = max(1, size), len(data)
     overlap = min(overlap, size - 1)
-    breaks = [i + 1 for i, b in enumerate(data) if b == 10]
+    breaks = (np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1).tolist()
 
     def near(at: int, low: int, high: int) -> int:
         """The line start nearest to ``at`` between ``low`` and ``high``, else ``at``."""
@@ -67,7 +70,7 @@ def chunks(entries: DataFrame) -> DataFrame:
             names = [x.split()[0] for x in _CHUNKS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=names)
 
-    return entries.select("wal_entry_id", "source_path", "content").mapInArrow(batches, _CHUNKS)
+    return spread(entries.select("wal_entry_id", "source_path", "content")).mapInArrow(batches, _CHUNKS)
 
 
 def fixed_windows(size: Column) -> Column:
@@ -129,5 +132,5 @@ def windows(entries: DataFrame) -> DataFrame:
             rows = [(e, a, b) for e, text, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True) for a, b in spans_of(kind, (text or "").encode())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["wal_entry_id", "window_start", "window_end"])
 
-    rest = entries.where(~by_size).select("wal_entry_id", "content", "content_type").mapInArrow(batches, "wal_entry_id bigint, window_start bigint, window_end bigint")
+    rest = spread(entries.where(~by_size).select("wal_entry_id", "content", "content_type")).mapInArrow(batches, "wal_entry_id bigint, window_start bigint, window_end bigint")
     return fixed.unionByName(rest)

@@ -1,91 +1,214 @@
-"""Lexical retrieval: postings, BM25, phrases and weighted boolean queries.
+"""Lexical retrieval: postings, BM25, phrases and weighted boolean queries. A document is a chunk of an entry.
 
-Statistics (number of documents, mean length, document frequencies) are those of the whole table.
-A query over entries without postings takes two scans and shuffles nothing but its counts; with
-postings, it reads those of its terms.
+Statistics (number of chunks, mean length, document frequencies) are those of the whole table. Entries
+without postings are read once: the pass counts the words of the chunks where they lie, in numpy over the entry's
+letters, and writes a narrow row for each chunk that holds one of the query's; these give frequencies and scores. With
+postings, those of the query's terms are read, which their files are laid out for.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-
+import unicodedata
+import zlib
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import body_tokens, ident_tokens, subtoken_text
+from gleaner.functions.text import body_tokens, subtoken_text
+from gleaner.operators.chunking import chunk_spans, chunks
+from gleaner.storage import spread, written
 
 K1, B = 1.2, 0.75
 _IDENT = re.compile(r"[\w:./\\-]+", re.ASCII)
 
 
-def field_tokens(text: Column, field: str) -> Column:
-    return {"body": body_tokens, "ident": ident_tokens, "subtoken": subtoken_text}[field](text)
+_WORD = re.compile(r"[^\W_]+")
+_EDGES = re.compile(r"^[^A-Za-z0-9_:.]+|[^A-Za-z0-9_:.]+$")
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+_PARTS = re.compile(r"[_\-.:/\\]")
+_TURN = re.compile(r"([a-z])([A-Z])")
+FIELDS = ("body", "ident", "subtoken")
+#: Parts of the postings by a hash of the term; a query reads those of its terms.
+BUCKETS = 64
+
+
+def field_words(text: str, field: str) -> list[str]:
+    """The tokens of a text in a field."""
+    if field == "body":
+        return _WORD.findall(text.lower())
+    if field == "ident":
+        return [t.lower() for t in _IDENT.findall(text)]
+    out = []
+    for w in _SPACE.split(text):
+        if w := _EDGES.sub("", w):
+            out += [w.lower(), *[p for p in _PARTS.split(_TURN.sub(r"\1_\2", w).lower()) if p]]
+    return out
 
 
 def postings(texts: DataFrame, field: str = "body", keys: tuple[str, ...] = ("wal_entry_id",), text: str = "content") -> DataFrame:
-    """``(keys, field, term, tf, doc_len)``. A document's tokens are counted within its row, so the
-    table is made without a shuffle and may be written partitioned by term as it is."""
-    tokens = texts.select(*keys, field_tokens(F.col(text), field).alias("tokens"))
-    sorted_tokens = tokens.select(*keys, F.size("tokens").alias("doc_len"), F.array_sort("tokens").alias("tokens"))
-    starts = F.filter(F.sequence(F.lit(1), F.size("tokens") + 1), lambda k: (k > F.size("tokens")) | (k == 1) | (F.get("tokens", k - 1) != F.get("tokens", F.greatest(k - 2, F.lit(0)))))
-    runs = F.transform(F.slice("starts", 1, F.size("starts") - 1), lambda s, k: F.struct(F.get("tokens", s - 1).alias("term"), (F.get("starts", k + 1) - s).alias("tf")))
-    exploded = sorted_tokens.where("doc_len > 0").withColumn("starts", starts).select(*keys, "doc_len", F.explode(runs).alias("p"))
-    return exploded.select(*keys, F.lit(field).alias("field"), "p.term", "p.tf", "doc_len")
+    """``(keys, field, term, tf, doc_len)``. A document's tokens are counted within its row, so nothing is shuffled."""
+    rows = texts.select(*keys, text)
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
 
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            at, terms, tf, size = [], [], [], []
+            for k, content in enumerate(batch.column(len(keys)).to_pylist()):
+                counts = Counter(field_words(content or "", field))
+                at += [k] * len(counts)
+                terms += counts.keys()
+                tf += counts.values()
+                size += [counts.total()] * len(counts)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in range(len(keys))], pa.array([field] * len(at), pa.string()), pa.array(terms, pa.string()), pa.array(tf, pa.int32()), pa.array(size, pa.int32())], names=[*keys, "field", "term", "tf", "doc_len"])
 
-def idf(n: Column, df: Column) -> Column:
-    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+    return spread(rows).mapInArrow(batches, f"{kinds}, field string, term string, tf int, doc_len int")
 
 
-def bm25(tf: Column, doc_len: Column, mean_len: Column, n: Column, df: Column) -> Column:
-    return idf(n, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / mean_len))
+def term_bucket(term: str) -> int:
+    return zlib.crc32(term.encode()) % BUCKETS
 
 
-def _is(word: str) -> Callable[[Column], Column]:
-    return lambda token: token == word
+def idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def _occurrences(lowered: Column, word: str) -> Column:
-    """Body tokens equal to the word, counted in the text itself: no list of tokens is made."""
-    if not re.fullmatch(r"[^\W_]+", word):
-        return F.lit(0)
-    return F.coalesce(F.regexp_count(lowered, F.lit(rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])")), F.lit(0))
+def bm25(tf: Column, doc_len: Column, mean_len: Column, n: Column, df: Column) -> Column:
+    return idf(n, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / mean_len))
 
 
 def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
 
 
-def bm25_scan(texts: DataFrame, terms: list[str], field: str = "body", text: str = "content", anchors: list[str] | None = None, boosts: dict[str, float] | None = None) -> DataFrame:
-    """``texts`` that hold a term (of ``anchors``, where given), with their score. Each term's score counts
-    ``boosts`` times. One scan for the statistics, one for the scores; a row is one document."""
-    if not terms:
-        return texts.limit(0).withColumn("score", F.lit(0.0))
-    if field == "body":
-        counted = texts.withColumn("_n", F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")), F.lit(0))).withColumn("_tf", F.array(*[_occurrences(F.lower(F.col(text)), w) for w in terms]))
-    else:
-        counts = F.array(*[F.size(F.filter("_t", _is(w))) for w in terms])
-        counted = texts.withColumn("_t", field_tokens(F.col(text), field)).withColumn("_n", F.size("_t")).withColumn("_tf", counts).drop("_t")
-    stats = counted.agg(F.count("*").alias("N"), F.avg("_n").alias("L"), *[F.sum((F.col("_tf")[k] > 0).cast("long")).alias(f"df{k}") for k in range(len(terms))])
-    joined = counted.crossJoin(F.broadcast(stats))
+@lru_cache(maxsize=1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point whether it is a letter or a digit, and its small letter."""
+    inside = np.fromiter((unicodedata.category(chr(c))[0] in "LN" for c in range(0x110000)), bool, 0x110000)
+    small = np.arange(0x110000, dtype=np.uint32)
+    for c in np.flatnonzero(inside).tolist():
+        low = chr(c).lower()
+        if len(low) == 1:
+            small[c] = ord(low)
+    return inside, small
+
+
+class _Words:
+    """The words of an entry: where each starts and ends, in bytes, and where those asked for are."""
+
+    def __init__(self, text: str, terms: list[str]) -> None:
+        inside, small = _letters()
+        code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        held = np.zeros(len(code) + 2, bool)
+        held[1:-1] = inside[code]
+        edges = np.flatnonzero(held[1:] != held[:-1])
+        first, last = edges[::2], edges[1::2]
+        self.places = []
+        for t in terms:
+            letters = np.array([ord(c) for c in t], np.uint32)
+            at = np.flatnonzero(last - first == len(letters))
+            for k, c in enumerate(letters):
+                at = at[small[code[first[at] + k]] == c]
+            self.places.append(at)
+        if len(code) and code.max() >= 0x80:
+            byte = np.concatenate([[0], np.cumsum(1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000))])
+            first, last = byte[first], byte[last]
+        self.first, self.last = first, last
+
+    def counts(self, data: bytes, spans: list[tuple[int, int, int, int]], terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of each chunk, and occurrences of each term. A word that a chunk's edge cuts is what the chunk has of it."""
+        a, b = (np.array([s[k] for s in spans], np.int64) for k in (0, 1))
+        low, high = np.searchsorted(self.last, a, "right"), np.searchsorted(self.first, b, "left")
+        tf = np.array([np.searchsorted(p, high) - np.searchsorted(p, low) for p in self.places]).reshape(len(terms), len(spans))
+        some = high > low
+        left = some & (self.first[np.minimum(low, len(self.first) - 1)] < a) if len(self.first) else some
+        right = some & (self.last[np.maximum(high - 1, 0)] > b) if len(self.first) else some
+        for k in np.flatnonzero(left | right).tolist():
+            for word in {low[k]} if low[k] == high[k] - 1 else {w for w, cut in ((low[k], left[k]), (high[k] - 1, right[k])) if cut}:
+                part = data[max(a[k], self.first[word]) : min(b[k], self.last[word])].decode().lower()
+                for t, (term, places) in enumerate(zip(terms, self.places, strict=True)):
+                    at = np.searchsorted(places, word)
+                    tf[t, k] += (part == term) - int(at < len(places) and places[at] == word)
+        return high - low, tf
+
+
+_FOUND = "wal_entry_id bigint, source_path string, chunk_id int, byte_start bigint, byte_end bigint, line_start int, line_end int, snippet string, n int, tf array<int>, text string, chunks bigint, tokens bigint"
+
+
+def _snippet(text: str, query: str) -> tuple[int, str]:
+    """The first line with the whole query, else with any of its words, else the first; and its number from 0."""
+    lines, whole = text.split("\n"), query.strip().strip('"')
+    words = query.split()
+    k = next((k for k, x in enumerate(lines) if whole and whole in x), None)
+    if k is None:
+        k = next((k for k, x in enumerate(lines) if any(w in x for w in words)), 0)
+    return k, lines[k].removesuffix("\r")
+
+
+def chunk_counts(entries: DataFrame, terms: list[str], query: str, with_text: bool = False) -> DataFrame:
+    """One pass over ``(wal_entry_id, source_path, content)``: a row for each chunk that holds a term, with the number of its words
+    and of each term's occurrences and the line to show; and for each batch a row without a chunk that has the number
+    of all its chunks and of their words. Written, so that it is computed once."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _FOUND.split(", ")]
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.int64(), pa.int64()]
+        for batch in it:
+            rows, n_chunks, tokens = [], 0, 0
+            for entry, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not content:
+                    continue
+                data = content.encode()
+                spans = chunk_spans(data)
+                n, tf = _Words(content, terms).counts(data, spans, terms)
+                n_chunks, tokens = n_chunks + len(spans), tokens + int(n.sum())
+                for k in np.flatnonzero(tf.any(axis=0)).tolist():
+                    start, end, first, _ = spans[k]
+                    text = data[start:end].decode()
+                    line, shown = _snippet(text, query)
+                    rows.append((entry, path, k, start, end, first + line, first + line, shown, int(n[k]), tf[:, k].tolist(), text if with_text else None, None, None))
+            rows.append((*[None] * 11, n_chunks, tokens))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return written(spread(entries.select("wal_entry_id", "source_path", "content")).mapInArrow(batches, _FOUND), "chunk-counts")
+
+
+SHOWN = ["wal_entry_id", "source_path", "chunk_id", "byte_start", "byte_end", "line_start", "line_end", "snippet"]
+
+
+def bm25_scan(entries: DataFrame, terms: list[str], query: str | None = None, anchors: list[str] | None = None, boosts: dict[str, float] | None = None, with_text: bool = False) -> DataFrame:
+    """The chunks of the entries that hold a term (of ``anchors``, where given), with their place, the line to show for
+    the query, and the score. Each term's score counts ``boosts`` times. No terms: no rows."""
+    found = chunk_counts(entries, terms, query if query is not None else " ".join(terms), with_text)
+    rows = found.where("chunk_id is not null")
+    stats = found.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("n_docs"), (F.sum("tokens") / F.greatest(F.sum("chunks"), F.lit(1))).alias("mean_len"), *[F.coalesce(F.sum((F.col("tf")[k] > 0).cast("long")), F.lit(0)).alias(f"df{k}") for k in range(len(terms))])
     must = [k for k, w in enumerate(terms) if anchors is None or w in anchors]
-    joined = joined.where(F.greatest(*[F.col("_tf")[k] for k in must], F.lit(0)) > 0) if must else joined.where(F.lit(False))
-    score = sum((bm25(F.col("_tf")[k].cast("double"), F.col("_n"), F.col("L"), F.col("N"), F.col(f"df{k}")) * float((boosts or {}).get(w, 1.0)) for k, w in enumerate(terms)), F.lit(0.0))
-    return joined.withColumn("score", score).select(*texts.columns, "score")
+    held = F.greatest(*[F.col("tf")[k] for k in must], F.lit(0), F.lit(0)) > 0
+    score = sum((bm25(F.col("tf")[k].cast("double"), F.col("n"), F.col("mean_len"), F.col("n_docs"), F.col(f"df{k}")) * float((boosts or {}).get(w, 1.0)) for k, w in enumerate(terms)), F.lit(0.0))
+    return rows.where(held).crossJoin(F.broadcast(stats)).select(*SHOWN, *["text"] * with_text, score.alias("score"))
+
 
+def field_stats(table: DataFrame) -> DataFrame:
+    """``(field, n_docs, mean_len)`` of a table of counters ``(field, chunks, tokens)``, a row for each field and append."""
+    return table.groupBy("field").agg(F.sum("chunks").alias("n_docs"), (F.sum("tokens") / F.sum("chunks")).alias("mean_len"))
 
-def bm25_postings(table: DataFrame, documents: DataFrame, clauses: DataFrame, key: str = "wal_entry_id") -> DataFrame:
-    """``(key, score)`` from postings and clauses ``(field, term, boost, kind)``: documents must
-    match a clause of kind ``anchor`` if there is one, and others add to the score. ``documents`` holds
-    ``(key, field, doc_len)``. Clauses are a compiled query, so they are broadcast."""
-    stats = documents.groupBy("field").agg(F.count("*").alias("N"), F.avg("doc_len").alias("L"))
+
+def bm25_postings(table: DataFrame, stats: DataFrame, clauses: DataFrame, keys: tuple[str, ...] = ("wal_entry_id", "chunk_id")) -> DataFrame:
+    """``(keys, score)`` from postings and clauses ``(field, term, boost, kind)``: documents must
+    match a clause of kind ``anchor``, and others add to the score. ``stats``: ``(field, n_docs, mean_len)``. Clauses are a
+    compiled query, and frequencies have a row for each of its terms, so both are broadcast."""
     found = table.join(F.broadcast(clauses), ["field", "term"])
-    df = found.groupBy("field", "term").agg(F.countDistinct(key).alias("df"))
+    df = table.join(F.broadcast(clauses.select("field", "term").distinct()), ["field", "term"]).groupBy("field", "term").agg(F.count("*").alias("df"))
     scored = found.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(stats), "field")
-    scored = scored.withColumn("s", F.col("boost") * bm25(F.col("tf").cast("double"), F.col("doc_len"), F.col("L"), F.col("N"), F.col("df")))
-    grouped = scored.groupBy(key).agg(F.sum("s").alias("score"), F.max((F.col("kind") == "anchor").cast("int")).alias("a"))
-    return grouped.where("a = 1").select(key, "score")
+    scored = scored.withColumn("s", F.col("boost") * bm25(F.col("tf").cast("double"), F.col("doc_len"), F.col("mean_len"), F.col("n_docs"), F.col("df")))
+    grouped = scored.groupBy(*keys).agg(F.sum("s").alias("score"), F.max((F.col("kind") == "anchor").cast("int")).alias("a"))
+    return grouped.where("a = 1").select(*keys, "score")
 
 
 def boost(kind: str, weight: float) -> float:
@@ -114,17 +237,35 @@ def parse_query(query: str) -> tuple[str, list[str]]:
     return "words", query_terms(q)
 
 
-def search_lexical(texts: DataFrame, query: str, limit: int | None, path: str = "source_path") -> tuple[DataFrame, bool]:
-    """The best documents by score, then path (all of them without a limit, in no order), and whether the query was refused."""
+def search_ident(entries: DataFrame, term: str, query: str) -> DataFrame:
+    """All chunks that hold an identifier, by BM25 over identifiers."""
+    made = written(chunks(entries), "chunks")
+    table = postings(made, "ident", ("wal_entry_id", "chunk_id"), "text").where(F.col("term") == term)
+    stats = made.agg(F.lit("ident").alias("field"), F.count("*").alias("n_docs"), F.avg(F.regexp_count("text", F.lit(r"[\w:./\\-]+"))).alias("mean_len"))
+    clauses = entries.sparkSession.createDataFrame([("ident", term, 1.0, "anchor")], "field string, term string, boost double, kind string")
+    return of_chunks(made.join(bm25_postings(table, stats, clauses), ["wal_entry_id", "chunk_id"]), query)
+
+
+def search_lexical(entries: DataFrame, query: str, limit: int | None = None) -> tuple[DataFrame, bool]:
+    """The best chunks by score, then path and place (all of them without a limit, in no order), and whether no query could be
+    made of the text, which isn't so where the text is one identifier."""
     kind, terms = parse_query(query)
-    if kind == "bad":
-        return texts.limit(0).withColumn("score", F.lit(0.0)), True
-    if kind == "phrase":
-        texts_of = bm25_scan(texts, terms)
-        found = texts_of.where(phrase_match(F.col("content"), query))
+    if kind == "ident":
+        found = search_ident(entries, terms[0], query)
+    elif not terms:
+        found = entries.sparkSession.createDataFrame([], "wal_entry_id bigint, source_path string, chunk_id int, byte_start bigint, byte_end bigint, line_start int, line_end int, snippet string, score double")
     else:
-        found = bm25_scan(texts, terms, "ident" if kind == "ident" else "body")
-    return found if limit is None else found.orderBy(F.desc("score"), path).limit(limit), kind == "ident"
+        found = bm25_scan(entries, terms, query, with_text=kind == "phrase")
+        if kind == "phrase":
+            found = found.where(phrase_match(F.col("text"), query)).drop("text")
+    return found if limit is None else found.orderBy(F.desc(F.round("score", 9)), "source_path", "chunk_id").limit(limit), kind == "bad"
+
+
+def of_chunks(rows: DataFrame, query: str) -> DataFrame:
+    """Scored chunks with their text as rows that show the line for the query."""
+    shown = rows.withColumn("_l", first_line_with(F.col("text"), query))
+    n = (F.col("line_start") + F.col("_l.k")).cast("int")
+    return shown.select("wal_entry_id", "source_path", "chunk_id", "byte_start", "byte_end", n.alias("line_start"), n.alias("line_end"), F.col("_l.line").alias("snippet"), "score")
 
 
 def first_line_with(text: Column, query: str) -> Column:

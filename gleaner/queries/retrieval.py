@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators import fusion, lexical, scan, semantic
+from gleaner.operators import chunking, fusion, lexical, scan, semantic
 from gleaner.plans import layers
 from gleaner.plans.compile import Query, compile_query, realize, without_common
 from gleaner.plans.lexicon import document_share
-from gleaner.queries.ingest import DOCS
+from gleaner.queries.chunks import _chunks_sql
 from gleaner.queries.text import _LINES
 from gleaner.sources.entries import documents
+from gleaner.storage import written
 
 FLAGSHIP = "of the"
 _SCORE = 6
@@ -62,33 +63,37 @@ def scan_regex_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = lexical.search_lexical(documents(spark, sf_dir), "license that the", 50)
-    return _rounded(found.select("wal_entry_id", "source_path", "score"))
+    return _rounded(found.select("wal_entry_id", "source_path", "chunk_id", "score"))
 
 
 def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score of every document that holds a word of the query, from postings."""
-    table = lexical.postings(documents(spark, sf_dir))
-    lengths = documents(spark, sf_dir).select(F.lit("body").alias("field"), F.size(lexical.body_tokens(F.col("content"))).alias("doc_len"))
+    """The score of every chunk that holds a word of the query, from postings."""
+    made = chunking.chunks(documents(spark, sf_dir))
+    table = written(lexical.postings(made, "body", ("wal_entry_id", "chunk_id"), "text"), "postings")
+    words = made.select(F.coalesce(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")), F.lit(0)).alias("n"))
+    stats = words.agg(F.lit("body").alias("field"), F.count("*").alias("n_docs"), F.avg("n").alias("mean_len"))
     clauses = spark.createDataFrame([("body", "license", 2.0, "anchor"), ("body", "that", 1.0, "anchor"), ("body", "with", 0.5, "expansion")], "field string, term string, boost double, kind string")
-    return _rounded(lexical.bm25_postings(table, lengths, clauses))
+    return _rounded(lexical.bm25_postings(table, stats, clauses))
 
 
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = lexical.search_lexical(documents(spark, sf_dir), '"that the"', 50)
-    return _rounded(found.select("wal_entry_id", "source_path", "score"))
+    return _rounded(found.select("wal_entry_id", "source_path", "chunk_id", "score"))
 
 
 def identifier_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query that the language refuses is one identifier, here a part of the pages' links."""
+    """Lookups of single identifiers, here parts of the pages' links; and whether texts that the query language
+    refuses become a lookup (an identifier does) or no query at all, which sets the flag."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("wal_entry_id"), F.col("url").alias("source_path"), F.col("url").alias("content"))
-    found = lexical.bm25_scan(pages, ["utm_source"], "ident").unionByName(lexical.bm25_scan(pages, ["feed"], "ident"))
-    refused, flag = lexical.search_lexical(pages, "a::b", 10)
-    return _rounded(found.unionByName(refused).select("wal_entry_id", "score")).withColumn("flag", F.lit(flag))
+    found = [lexical.search_ident(pages, t, t).select(F.lit(t).alias("query"), "wal_entry_id", "chunk_id", "score", F.lit(False).alias("flag")) for t in ("utm_source", "feed")]
+    refused = [(q, *lexical.search_lexical(pages, q, 10)) for q in ("a::b", "(x", '"x')]
+    rows = spark.createDataFrame([(q, -1, -1, float(r.count()), flag) for q, r, flag in refused], "query string, wal_entry_id bigint, chunk_id int, score double, flag boolean")
+    return _rounded(fusion.union([*found, rows]))
 
 
 def weighted_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = layers.boolean_layer(documents(spark, sf_dir), compiled(), 100)
-    return _rounded(found.select("wal_entry_id", "source_path", "score"))
+    return _rounded(found.select("wal_entry_id", "source_path", "chunk_id", "score"))
 
 
 def _patterns(q: Query) -> list:
@@ -175,14 +180,18 @@ _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), la
 
 
 def _bm25(terms: list[tuple[str, float]], must: list[str], extra: str = "") -> str:
-    """SQL of ``(wal_entry_id, source_path, text, score)`` for terms with boosts."""
+    """SQL of chunks with their tokens and score, for terms with boosts."""
     tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{k}" for k, (w, _) in enumerate(terms))
     df = ", ".join(f"sum(CAST(tf{k} > 0 AS INTEGER)) OVER () AS df{k}" for k in range(len(terms)))
     score = " + ".join(f"{b} * ln(1 + (cnt - df{k} + 0.5) / (df{k} + 0.5)) * tf{k} * 2.2 / (tf{k} + 1.2 * (0.25 + 0.75 * n / avg))" for k, (_, b) in enumerate(terms))
     any_of = " OR ".join(f"tf{k} > 0" for k, (w, _) in enumerate(terms) if w in must)
-    return f"""tok AS (SELECT doc_id AS wal_entry_id, concat_ws('/', source, lang, doc_id || '.txt') AS source_path, text, {_TOKENS} AS t FROM documents),
+    return f"""{_chunks_sql()}, tok AS (SELECT *, {_TOKENS} AS t FROM cx),
 tfs AS (SELECT *, len(t) AS n, {tf} FROM tok), st AS (SELECT *, count(*) OVER () AS cnt, avg(n) OVER () AS avg, {df} FROM tfs),
-bm AS (SELECT wal_entry_id, source_path, text, t, {score} AS score FROM st WHERE ({any_of}) {extra})"""
+bm AS (SELECT wal_entry_id, source_path, chunk_id, byte_start, byte_end, l1, text, t, {score} AS score FROM st WHERE ({any_of}) {extra})"""
+
+
+_CHUNK = "SELECT wal_entry_id, source_path, chunk_id, round(score, 6) AS score FROM bm"
+_BEST = "ORDER BY round(bm.score, 9) DESC, source_path, chunk_id LIMIT"
 
 
 def _events_sql() -> str:
@@ -235,38 +244,44 @@ def _boolean_sql() -> str:
     for t in q.terms:
         boosts[t.canonical] = max(boosts.get(t.canonical, 0.0), lexical.boost("anchor" if t.anchor else "expansion", t.weight))
     anchors = [t.canonical for t in q.terms if t.anchor]
-    return f"WITH {_bm25(list(boosts.items()), anchors)} SELECT wal_entry_id, source_path, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, source_path LIMIT 100"
+    return f"WITH RECURSIVE {_bm25(list(boosts.items()), anchors)} {_CHUNK} {_BEST} 100"
 
 
-_LAYERS = f"""{_LINES}, {_bm25([("of", 1), ("the", 1)], ["of", "the"])},
-sh AS (SELECT o.wal_entry_id, o.source_path, 1.0 AS score, n, a, line FROM o WHERE contains(line, 'of the') QUALIFY row_number() OVER (PARTITION BY wal_entry_id ORDER BY n) = 1),
+_LAYERS = f"""RECURSIVE {_LINES}, {_bm25([("of", 1), ("the", 1)], ["of", "the"])},
+sh AS (SELECT o.wal_entry_id, o.source_path, 1.0 AS score, n, a, a + strlen(line) AS z, line FROM o WHERE contains(line, 'of the') QUALIFY row_number() OVER (PARTITION BY wal_entry_id ORDER BY n) = 1),
 s AS (SELECT *, row_number() OVER (ORDER BY score DESC, source_path, n) - 1 AS rk FROM sh),
-fl AS (SELECT wal_entry_id, n, a, line, row_number() OVER (PARTITION BY wal_entry_id ORDER BY CASE WHEN contains(line, 'of the') THEN 0 WHEN contains(line, 'of') OR contains(line, 'the') THEN 1 ELSE 2 END, n) AS k FROM o),
-b AS (SELECT bm.wal_entry_id, bm.source_path, bm.score, n, a, line, row_number() OVER (ORDER BY bm.score DESC, bm.source_path, n) - 1 AS rk FROM bm JOIN fl ON bm.wal_entry_id = fl.wal_entry_id AND k = 1)"""
+bl AS (SELECT *, string_split(text, chr(10)) AS ls FROM bm),
+bp AS (SELECT *, coalesce(list_position(list_transform(ls, lambda x: contains(x, 'of the')), TRUE), list_position(list_transform(ls, lambda x: contains(x, 'of') OR contains(x, 'the')), TRUE), 1) AS p FROM bl),
+bf AS (SELECT wal_entry_id, source_path, score, chunk_id, l1 + p - 1 AS n, byte_start AS a, byte_end AS z, ls[p] AS line FROM bp QUALIFY row_number() OVER (PARTITION BY wal_entry_id ORDER BY score DESC, n, byte_start) = 1),
+b AS (SELECT *, row_number() OVER (ORDER BY score DESC, source_path, n) - 1 AS rk FROM bf)"""
 _FUSED = f"""{_LAYERS},
-j AS (SELECT coalesce(s.wal_entry_id, b.wal_entry_id) AS wal_entry_id, coalesce(s.source_path, b.source_path) AS source_path, s.rk AS srk, b.rk AS brk, s.score AS ss, b.score AS bs, s.n AS sn, b.n AS bn, s.a AS sa, b.a AS ba, s.line AS sl, b.line AS bl
-  FROM s FULL JOIN b ON s.wal_entry_id = b.wal_entry_id),
-f AS (SELECT *, (coalesce(0.9 / (21 + srk), 0) + coalesce(1.0 / (21 + brk), 0)) * 1.35 AS score,
-  CASE WHEN ss IS NULL OR bs > ss THEN TRUE ELSE FALSE END AS useb FROM j WHERE srk IS NULL OR brk IS NULL OR sa = ba)
+k AS (SELECT wal_entry_id, greatest(least(s.z, b.z) - greatest(s.a, b.a), 0) AS i, (s.z - s.a) + (b.z - b.a) - i AS u FROM s JOIN b USING (wal_entry_id)),
+m AS (SELECT wal_entry_id FROM k WHERE u > 0 AND i / u > 0.5),
+f AS (SELECT s.wal_entry_id, s.source_path, s.rk AS srk, b.rk AS brk, b.score > s.score OR (b.score = s.score AND length(b.line) > length(s.line)) AS useb,
+    s.n AS sn, s.a AS sa, s.z AS sz, s.line AS sl, b.n AS bn, b.a AS ba, b.z AS bz, b.line AS bl, b.chunk_id AS bc FROM m JOIN s USING (wal_entry_id) JOIN b USING (wal_entry_id)
+  UNION ALL SELECT s.wal_entry_id, s.source_path, rk, NULL, FALSE, n, a, z, line, NULL, NULL, NULL, NULL, NULL FROM s ANTI JOIN m USING (wal_entry_id)
+  UNION ALL SELECT b.wal_entry_id, b.source_path, NULL, rk, TRUE, NULL, NULL, NULL, NULL, n, a, z, line, chunk_id FROM b ANTI JOIN m USING (wal_entry_id)),
+g AS (SELECT *, (coalesce(0.9 / (21 + srk), 0) + coalesce(1.0 / (21 + brk), 0)) * 1.35 AS score FROM f)
 """
-_FUSED_ROWS = """SELECT wal_entry_id, source_path, round(score, 9) AS score, 'fused' AS layer, CAST(0 AS INTEGER) AS chunk_id, CASE WHEN useb THEN ba ELSE sa END AS byte_start,
-  CASE WHEN useb THEN ba + strlen(bl) ELSE sa + strlen(sl) END AS byte_end, CAST(CASE WHEN useb THEN bn ELSE sn END AS INTEGER) AS line_start,
-  CAST(CASE WHEN useb THEN bn ELSE sn END AS INTEGER) AS line_end, CASE WHEN useb THEN bl ELSE sl END AS snippet FROM f"""
+_FUSED_ROWS = """SELECT wal_entry_id, source_path, round(score, 9) AS score, 'fused' AS layer, CAST(CASE WHEN useb THEN bc ELSE 0 END AS INTEGER) AS chunk_id, CAST(CASE WHEN useb THEN ba ELSE sa END AS BIGINT) AS byte_start,
+  CAST(CASE WHEN useb THEN bz ELSE sz END AS BIGINT) AS byte_end, CAST(CASE WHEN useb THEN bn ELSE sn END AS INTEGER) AS line_start,
+  CAST(CASE WHEN useb THEN bn ELSE sn END AS INTEGER) AS line_end, CASE WHEN useb THEN bl ELSE sl END AS snippet FROM g"""
 
 ORACLE_SQL = {
     "scan_substring": f"WITH {_LINES} SELECT {_HIT}, 1.0::DOUBLE AS score FROM o WHERE contains(line, 'of the')",
     "scan_words": f"WITH {_LINES} SELECT {_HIT}, CAST(2 * CAST(contains(line, 'license') AS INTEGER) + CAST(contains(line, 'zzzz') AS INTEGER) + CAST(contains(line, 'mail') AS INTEGER) AS DOUBLE) AS score FROM o WHERE contains(line, 'license') OR contains(line, 'mail') OR contains(line, 'zzzz')",
     "scan_regex": f"WITH {_LINES} SELECT {_HIT}, 1.0::DOUBLE AS score FROM o WHERE regexp_matches(line, '[0-9]+@mail[0-9]+')",
     "scan_regex_anchored": f"WITH {_LINES}, z AS (SELECT *, max(n) OVER (PARTITION BY wal_entry_id) AS m FROM o) SELECT {_HIT}, 1.0::DOUBLE AS score FROM z WHERE (n = 1 AND regexp_matches(line, '^The [a-z]+')) OR (n = m AND regexp_matches(line, '[a-z]{{2}}\\.$'))",
-    "bm25_topk": f"WITH {_bm25([('license', 1), ('that', 1), ('the', 1)], ['license', 'that', 'the'])} SELECT wal_entry_id, source_path, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, source_path LIMIT 50",
-    "bm25_all": f"WITH {_bm25([('license', 2.0), ('that', 1.0), ('with', 0.5)], ['license', 'that'])} SELECT wal_entry_id, round(score, 6) AS score FROM bm",
-    "bm25_phrase": f"WITH {_bm25([('that', 1), ('the', 1)], ['that', 'the'])} SELECT wal_entry_id, source_path, round(score, 6) AS score FROM bm WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' that the ') ORDER BY bm.score DESC, source_path LIMIT 50",
-    "identifier_fallback": r"""
-        WITH t AS (SELECT page_id, list_transform(regexp_extract_all(url, '[\w:./\\-]+'), lambda x: lower(x)) AS t FROM pages),
+    "bm25_topk": f"WITH RECURSIVE {_bm25([('license', 1), ('that', 1), ('the', 1)], ['license', 'that', 'the'])} {_CHUNK} {_BEST} 50",
+    "bm25_all": f"WITH RECURSIVE {_bm25([('license', 2.0), ('that', 1.0), ('with', 0.5)], ['license', 'that'])} SELECT wal_entry_id, chunk_id, round(score, 6) AS score FROM bm",
+    "bm25_phrase": f"WITH RECURSIVE {_bm25([('that', 1), ('the', 1)], ['that', 'the'])} {_CHUNK} WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' that the ') {_BEST} 50",
+    "identifier_fallback": "WITH RECURSIVE " + _chunks_sql("(SELECT page_id AS wal_entry_id, url AS source_path, url AS content FROM pages)") + r""",
+        t AS (SELECT wal_entry_id, chunk_id, list_transform(regexp_extract_all(text, '[\w:./\\-]+'), lambda x: lower(x)) AS t FROM cx),
         c AS (SELECT *, len(t) AS n, count(*) OVER () AS cnt, avg(len(t)) OVER () AS av FROM t),
         u AS (SELECT c.*, w, len(list_filter(t, lambda x: x = w)) AS tf FROM c, (VALUES ('utm_source'), ('feed')) v(w)),
-        d AS (SELECT *, sum(CAST(tf > 0 AS INTEGER)) OVER (PARTITION BY w) AS df FROM u)
-        SELECT page_id AS wal_entry_id, round(ln(1 + (cnt - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / av)), 6) AS score, TRUE AS flag FROM d WHERE tf > 0""",
+        dd AS (SELECT *, sum(CAST(tf > 0 AS INTEGER)) OVER (PARTITION BY w) AS df FROM u)
+        SELECT w AS query, wal_entry_id, chunk_id, round(ln(1 + (cnt - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / av)), 6) AS score, FALSE AS flag FROM dd WHERE tf > 0
+        UNION ALL SELECT * FROM (VALUES ('a::b', CAST(-1 AS BIGINT), CAST(-1 AS INTEGER), 0.0::DOUBLE, FALSE), ('(x', -1, -1, 0.0, TRUE), ('"x', -1, -1, 0.0, TRUE)) v(a, b, c, d, e)""",
     "weighted_boolean": _boolean_sql(),
     "semantic_events": f"WITH {_events_sql()} SELECT wal_entry_id, byte_start, byte_end, CAST(group_id AS INTEGER) AS group_id, round(weight, 6) AS weight, is_anchor FROM ev",
     "scan_frequencies": f"WITH {_events_sql()}, nm(term_id, term) AS (VALUES {', '.join(f'({t.term_id}, {t.canonical!r})' for t in compiled().terms)}) SELECT term, count(DISTINCT wal_entry_id) AS df FROM ev JOIN nm USING (term_id) GROUP BY term",
@@ -276,7 +291,7 @@ ORACLE_SQL = {
     "layer_ranks": f"WITH {_LAYERS} SELECT 'scan' AS layer, wal_entry_id, CAST(rk AS INTEGER) AS rank, 0.0::DOUBLE AS confidence, 0.9::DOUBLE AS layer_weight FROM s UNION ALL SELECT 'bm25', wal_entry_id, CAST(rk AS INTEGER), 0.0, 1.0 FROM b",
     "rrf_weighted": f"WITH {_LAYERS} SELECT wal_entry_id, round(sum(x), 9) AS score FROM (SELECT wal_entry_id, 0.9 / (21 + rk) AS x FROM s UNION ALL SELECT wal_entry_id, 1.0 / (21 + rk) FROM b) GROUP BY 1",
     "fused_all": f"WITH {_FUSED} {_FUSED_ROWS}",
-    "fused_by_file": f"WITH {_FUSED} SELECT source_path, wal_entry_id, round(score, 9) AS score FROM f",
+    "fused_by_file": f"WITH {_FUSED} SELECT source_path, wal_entry_id, round(sum(score), 9) AS score FROM g GROUP BY 1, 2",
     "stale_filter": f"WITH {_LAYERS}, u AS (SELECT 'scan' AS layer, wal_entry_id FROM s UNION ALL SELECT 'bm25', wal_entry_id FROM b), fr AS (SELECT u.*, lang <> 'en' AS fresh FROM u JOIN documents ON doc_id = wal_entry_id) SELECT layer, wal_entry_id FROM fr WHERE fresh OR NOT (SELECT bool_or(fresh) FROM fr)",
-    "hybrid_search": f"WITH {_FUSED} {_FUSED_ROWS} ORDER BY f.score DESC, source_path, line_start LIMIT 10",
+    "hybrid_search": f"WITH {_FUSED} {_FUSED_ROWS} ORDER BY g.score DESC, source_path, line_start LIMIT 10",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from gleaner.functions import text as tx
 from gleaner.operators import chunking, lexical, scan
 from gleaner.plans.compile import variant_quality
+from gleaner.queries.chunks import _chunks_sql
 from gleaner.queries.ingest import DOCS
 from gleaner.sources.entries import documents
 
@@ -118,6 +119,11 @@ _LINES = f"""l AS (SELECT wal_entry_id, source_path, content, unnest(string_spli
 o AS (SELECT *, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY wal_entry_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM l)"""
 
 ORACLE_SQL = {
+    "chunk_table": f"WITH RECURSIVE {_chunks_sql()} SELECT wal_entry_id, source_path, chunk_id, byte_start, byte_end, l1 AS line_start, greatest(l1, l2) AS line_end, text FROM cx",
+    "hit_chunks": f"""WITH RECURSIVE {_LINES}, {_chunks_sql()},
+        h AS (SELECT wal_entry_id, CAST(n AS INTEGER) AS line_number, a AS byte_start, a + strlen(line) AS byte_end FROM o WHERE contains(line, 'license'))
+        SELECT h.wal_entry_id, line_number, h.byte_start, h.byte_end, coalesce(min(chunk_id), 0) AS chunk_id, coalesce(arg_min(cx.byte_start, chunk_id), h.byte_start) AS chunk_start, coalesce(arg_min(cx.byte_end, chunk_id), h.byte_end) AS chunk_end
+        FROM h LEFT JOIN cx ON h.wal_entry_id = cx.wal_entry_id AND h.byte_start >= cx.byte_start AND h.byte_start < cx.byte_end GROUP BY h.wal_entry_id, line_number, h.byte_start, h.byte_end""",
     "tokens_body": f"SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT doc_id AS id, unnest({_WORDS.format('text')}) AS term FROM documents) GROUP BY term",
     "tokens_ident": r"SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT page_id AS id, lower(unnest(regexp_extract_all(html, '[\w:./\\-]+'))) AS term FROM pages) GROUP BY term",
     "subtokens": r"SELECT page_id, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(url, '([a-z])([A-Z])', '\1_\2', 'g')), '[_\-.:/\\]'), lambda x: x <> ''), ' ') AS subtokens FROM pages",

@@ -29,3 +29,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, for work that takes much longer than reading: rows of an input so small that Spark reads it in fewer tasks
+    than there are cores (one row group is one task) are dealt out to all of them. Any larger input is left as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * (4 << 20) else df
