@@ -143,7 +143,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Other columns stay as they are. ``deleted_col`` adds the number of lines deleted. Documents
     without shared lines, with a null id or with a null or empty text come back unchanged; a document of
-    which all lines are deleted comes back with an empty text. The documents are shuffled once."""
+    which all lines are deleted comes back with an empty text. Repeated rows (same id and text) are one document and come back alike.
+    A text of any length is hashed and cut whole; an empty table stays empty. Helper columns get names that no column has; a column
+    that has the name ``deleted_col`` must not be there. The documents are shuffled once."""
     gone = lines_to_delete(docs, id_col, text_col, min_chars)
     rid, rth, rgone = fresh(docs, "id", "th", "gone")
     gone = gone.select(F.col("id").alias(rid), F.col("th").alias(rth), F.col("gone").alias(rgone))

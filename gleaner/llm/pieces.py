@@ -277,7 +277,8 @@ def piece_model(path: str = MODEL) -> PieceModel:
 def encode_pieces(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", model: str = MODEL) -> DataFrame:
     """``docs`` and the ids of each text: null for null, an empty list for an empty text. Whole
     texts are encoded; characters outside the vocabulary as their UTF-8 bytes. Columns stay as they are; a
-    column that has the name ``ids_col`` is replaced."""
+    column that has the name ``ids_col`` is replaced. Repeated rows stay, each with the same ids; ties between merges fall to the
+    leftmost; an empty table stays empty. A text stands in memory whole, with some arrays of its length."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -74,7 +74,8 @@ def with_quality(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str =
     (``failed``), and whether there are none (``keep``).
 
     A rule of an unknown metric or side is an error; no rules keep everything. A null text is
-    judged as an empty one. Columns with the names of added ones are replaced: ``prefix`` avoids that."""
+    judged as an empty one. Long texts count whole; repeated rows stay, each with the same verdict; a metric equal to its bound
+    breaks no rule; an empty table stays empty. Columns with the names of added ones are replaced: ``prefix`` avoids that."""
     for r in rules:
         if r.side not in ("min", "max"):
             raise ValueError(f"rule {r.name}: {r.side!r} is neither min nor max")

@@ -136,7 +136,9 @@ def write_token_shards(rows: DataFrame, path: str, id_col: str = "doc_id", ids_c
     """Writes shards below ``path``; returns the table of them ``(shard, path, kind, n_docs,
     n_tokens, ef_bytes, doc_ids)``. A null list is a document of no tokens; ids beyond ``vocabulary`` and null ids
     in a list are errors. A task that is repeated writes files of other names, and the table lists
-    those of the one that succeeded. Nothing is shuffled; rows keep their order."""
+    those of the one that succeeded. Repeated rows are separate documents, null ids are kept as null, and a list of any
+    length goes whole into one shard. An empty table gives no shards. Columns are chosen by name and get new names at once, so others
+    can't clash. Nothing is shuffled; rows keep their order."""
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     some = rows.select(col(id_col).alias("id"), col(ids_col).alias("ids"))
     schema = T.StructType([T.StructField("shard", T.StringType()), T.StructField("path", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ef_bytes", T.LongType()), T.StructField("doc_ids", T.ArrayType(some.schema["id"].dataType))])
