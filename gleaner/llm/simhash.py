@@ -3,23 +3,19 @@
 A document's features are its distinct words (of a text without any, the stripped text), each weighing as much
 as it has letters, up to ``MAX_LETTERS``: long words tell texts apart, short ones all texts of a language share.
 Each feature has as many hashed bits as the fingerprint; a bit is set if more than half of the weight sets it.
-Fingerprints hold ``words`` longs of 63 bits. They are cut into ``words * per_word`` blocks twice: once into
-runs of neighbouring bits, once into blocks that take a part from each of three longs. Two fingerprints that
-differ in fewer bits than a cut has blocks share a block of either cut. Each block has a second key against chance, another
-long, in which a pair may differ by three standard deviations more bits than one at ``MAX_SHARE`` does (``second_key_bits``, 18). Pairs
-of up to 41 bits are found for certain: a second key that fails them takes 19 bits and three blocks of a cut, so of the first
-cut's 48 blocks a pair of d bits loses d, and 3 more for each 19 bits. Farther ones are found if any block of the two cuts is untouched: as the
-bits are signs of independent random sums they differ at random, and 0.99 of the pairs at 13 % and 0.95 at ``MAX_SHARE``
-are found, beyond which no pair counts. (Blocks so narrow that pigeons alone reach ``MAX_SHARE`` would hold six
-bits, and every block a fiftieth of the corpus.) All rows that share a block are compared, in tiles, so that
-a block of any size is many tasks.
+Fingerprints hold ``words`` longs of 63 bits. Two that differ in at most ``MAX_SHARE`` of the bits are near.
 
 Near fingerprints only nominate a pair. It counts if the texts agree in all their words with order
 and number: each document has a sketch of its shingles of ``SHINGLE`` words (the n-th use of a
 shingle is a feature of its own), a minimum for each of ``LANES`` parts of the hash range, and
 ``MIN_SIMILARITY`` of the lanes that either document fills must be equal. That estimates the Jaccard
 similarity of the shingles, and is nearly exact for short texts.
-Wider blocks make fewer chance candidates: a corpus of billions wants ``words=24, per_word=2``.
+
+Pairs are looked for by what both must have, so that none is missed. Blocks of the fingerprint can't do that: blocks so narrow that one
+is untouched in every pair at ``MAX_SHARE`` would hold six bits, and each a fiftieth of the corpus. Sketches can: of lanes of which 0.3 are
+equal, dealt out to one group fewer than there are equal ones, two equal ones share a group. So the pairs of lanes within
+groups are keys of 30 bits (``key_levels``), of which any pair that counts shares one, and all rows that share a key are
+compared, in tiles, so that a key of any frequency is many tasks. Then the fingerprints are held against each other, and the sketches.
 """
 
 from __future__ import annotations
@@ -52,6 +48,10 @@ _CACHE_WORDS = 150_000
 _ROWS = 1024
 #: Rows of a block that are compared with as many others by one task at a time.
 TILE = 1024
+#: Least numbers of filled lanes of the levels of keys: a sketch has keys for each level that a partner may bring it to.
+LEVELS = (1, 4, 7, 17, 27, 47, 71, 104)
+#: Rows that share a key beyond which it is looked whether they are versions of one text.
+CROWD = 128
 
 
 class _Bits(dict):
@@ -181,7 +181,7 @@ def _distance(a: str, b: str, words: int) -> Column:
 
 
 def block_keys(words: int = WORDS, per_word: int = PER_WORD) -> list[Column]:
-    """The blocks of a row ``(f0, ...)``, each with its number above its bits: of runs of neighbouring bits,
+    """For approximate search by fingerprints alone; ``near_links`` doesn't use it. The blocks of a row ``(f0, ...)``, each with its number above its bits: of runs of neighbouring bits,
     then, where longs can be cut into three times as many parts, of three parts from different longs."""
     width = 63 // per_word
 
@@ -200,32 +200,169 @@ def block_keys(words: int = WORDS, per_word: int = PER_WORD) -> list[Column]:
 
 
 def second_key_bits(max_share: float = MAX_SHARE) -> int:
-    """Bits in which the second keys of a pair may differ: at ``max_share`` one pair in a thousand exceeds it by chance, and
+    """For approximate search, as ``block_keys``. Bits in which the second keys of a pair may differ: at ``max_share`` one pair in a thousand exceeds it by chance, and
     meets in other blocks."""
     return math.ceil(63 * max_share + 3 * math.sqrt(63 * max_share * (1 - max_share)))
 
 
-def near_pairs(prints: DataFrame, words: int = WORDS, per_word: int = PER_WORD, max_share: float = MAX_SHARE, tile: int = TILE) -> DataFrame:
-    """``(a, b, distance)`` for the pairs a < b of rows ``(rep, f0, ...)``, rep a number, that share
-    a block and differ in at most ``max_share`` of the bits. Every row is compared with all that
-    share a block and a second key near its own, however many: the rows of a block are numbered, and each tile of them meets each other in a task of its
-    own. Blocks of one row, which are most, go before anything is joined."""
-    second = second_key_bits(max_share)
-    keys = [F.struct(key.alias("block"), F.col(f"f{(n // per_word + 1) % words}").alias("other")) for n, key in enumerate(block_keys(words, per_word))]
-    blocks = prints.select("rep", F.explode(F.array(*keys)).alias("k")).select("rep", "k.block", "k.other")
-    inside = Window.partitionBy("block")
-    placed = blocks.withColumns({"n": F.count("*").over(inside), "at": F.row_number().over(inside.orderBy("rep"))}).where("n > 1")
-    last = F.floor((F.col("n") - 1) / tile).cast("int")
-    placed = written(placed.select("rep", "block", "other", F.floor((F.col("at") - 1) / tile).cast("int").alias("tile"), last.alias("last")), "shared-blocks")
-    x = placed.select("block", F.col("tile").alias("s"), F.explode(F.sequence("tile", "last")).alias("t"), F.col("rep").alias("a"), F.col("other").alias("x"))
-    y = placed.select("block", F.explode(F.sequence(F.lit(0), "tile")).alias("s"), F.col("tile").alias("t"), F.col("rep").alias("b"), F.col("other").alias("y"))
-    meet = x.join(y, ["block", "s", "t"]).where("a < b").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= second).select("a", "b").distinct()
+def key_levels(least: float = MIN_SIMILARITY) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(low, high, i, j)`` for each level of ``LEVELS``: pairs of lanes, of which two sketches that agree to at least ``least`` share one
+    in all. The fuller of the two has ``low`` to ``high`` lanes, so at least ``least * low`` lanes are equal, and the lanes are dealt out to
+    one group fewer than that: two of the equal ones lie in the same group. Where a single equal lane is enough, i and j are the same."""
+    out = []
+    for low, high in zip(LEVELS, [*(n - 1 for n in LEVELS[1:]), LANES], strict=True):
+        equal = next(e for e in range(1, low + 1) if e / low >= least)
+        i, j = np.triu_indices(LANES, 0 if equal == 1 else 1)
+        inside = i == j if equal == 1 else i % (equal - 1) == j % (equal - 1)
+        out.append((low, high, i[inside], j[inside]))
+    return out
+
+
+def sketch_keys(prints: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
+    """``(key, rep)``: the keys of each row ``(rep, sketch)``. Rows whose sketches agree to at least ``least`` share a key, without exception."""
+    levels = key_levels(least)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for k in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(k, _ROWS)
+                reps = part.column(0).to_numpy()
+                lanes = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, LANES).astype(np.int64)
+                filled = (lanes > 0).sum(axis=1)
+                for n, (low, high, i, j) in enumerate(levels):
+                    here = np.flatnonzero((filled <= high) & (filled / low >= least))
+                    if len(here):
+                        x, y = lanes[here][:, i], lanes[here][:, j]
+                        row, at = np.nonzero((x > 0) & (y > 0))
+                        keys = ((n << 13) + at << 30) + (x[row, at] - 1 << 15) + y[row, at] - 1
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(reps[here[row]])], names=["key", "rep"])
+
+    return prints.select("rep", "sketch").mapInArrow(batches, "key bigint, rep bigint")
+
+
+def _tiles(rows: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(at, n, ...)`` numbered from 1 to n within their group, twice: each tile of ``tile`` rows with itself and with each earlier one, as
+    ``(s, t)``, s the earlier; the first table has the rows of s, the second those of t."""
+    rows = rows.withColumns({"tile": F.floor((F.col("at") - 1) / tile).cast("int"), "last": F.floor((F.col("n") - 1) / tile).cast("int")}).drop("at", "n")
+    x = rows.withColumns({"s": F.col("tile"), "t": F.explode(F.sequence("tile", "last"))}).drop("tile", "last")
+    y = rows.withColumns({"s": F.explode(F.sequence(F.lit(0), "tile")), "t": F.col("tile")}).drop("tile", "last")
+    return x, y.toDF(*y.columns)
+
+
+def _near(x: pa.Table, y: pa.Table, words: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of two tiles, whether each of the one is near each of the other, and the distances. Of a tile with itself
+    each pair counts once, as does one of two tiles."""
+    a, b = x["rep"].to_numpy(), y["rep"].to_numpy()
+    distance = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(words):
+        distance += np.bitwise_count(x[f"f{k}"].to_numpy()[:, None] ^ y[f"f{k}"].to_numpy()[None, :])
+    near = distance <= most
+    if x["s"][0].as_py() == x["t"][0].as_py():
+        near &= a[:, None] < b[None, :]
+    return a, b, near, distance
+
+
+def most_bits(words: int, max_share: float) -> int:
+    """Bits in which near fingerprints may differ."""
+    return int(max_share * words * 63)
+
+
+def near_pairs(prints: DataFrame, words: int = WORDS, max_share: float = MAX_SHARE, tile: int = TILE) -> DataFrame:
+    """``(a, b, distance)`` for all pairs a < b of rows ``(rep, f0, ...)``, rep a number, that differ in at most ``max_share`` of the
+    bits. Every row is compared with every other, tile by tile, so no pair is missed and the work is quadratic: for tables that have
+    fingerprints only. With sketches ``near_links`` finds what counts without comparing all."""
+    names, most = [f"f{k}" for k in range(words)], most_bits(words, max_share)
+    everything = Window.partitionBy("root")
+    rows = prints.select("rep", *names, F.lit(0).cast("long").alias("root"))
+    x, y = _tiles(rows.withColumns({"n": F.count("*").over(everything), "at": F.row_number().over(everything.orderBy("rep"))}), tile)
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "distance": pa.array([], pa.int32())})
+        a, b, near, distance = _near(x, y, words, most)
+        i, j = np.nonzero(near)
+        return pa.table({"a": a[i], "b": b[j], "distance": distance[i, j].astype(np.int32)})
+
+    return x.groupBy("root", "s", "t").cogroup(y.groupBy("root", "s", "t")).applyInArrow(compare, "a bigint, b bigint, distance int")
+
+
+def _leads(near: np.ndarray) -> np.ndarray:
+    """Of rows and columns of a table of links, numbered one after the other, the first that each is linked to by any chain."""
+    rows, columns = near.shape
+    lead = np.arange(rows + columns)
+    seen = np.zeros(rows + columns, bool)
+    for start in np.flatnonzero(near.any(axis=1)):
+        if seen[start]:
+            continue
+        new = np.array([start])
+        while len(new):
+            seen[new] = True
+            lead[new] = start
+            up, across = new[new < rows], new[new >= rows] - rows
+            reached = np.concatenate([near[:, across].any(axis=1), near[up].any(axis=0)])
+            new = np.flatnonzero(reached & ~seen)
+    return lead
+
+
+def crowd_links(crowds: DataFrame, words: int, most: int, least: float, tile: int = TILE) -> DataFrame:
+    """``(a, b, n)``: all links within each group of rows ``(root, rep, f0, ..., sketch)``, every pair of which is compared once. A
+    row stands for n links of a; the rows' edges (a, b) join what the links join, without one for each link."""
+    inside = Window.partitionBy("root")
+    x, y = _tiles(crowds.withColumns({"n": F.count("*").over(inside), "at": F.row_number().over(inside.orderBy("rep"))}), tile)
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table({k: pa.array([], pa.int64()) for k in "abn"})
+        a, b, near, _ = _near(x, y, words, most)
+        if near.any():
+            one, two = (np.frombuffer(b"".join(z["sketch"].to_pylist()), "<u2").reshape(-1, LANES) for z in (x, y))
+            equal, either = np.zeros(near.shape, np.uint8), np.zeros(near.shape, np.uint8)
+            for k in range(LANES):
+                p, q = one[:, k, None], two[None, :, k]
+                equal += (p == q) & (p > 0)
+                either += (p > 0) | (q > 0)
+            near &= equal / np.maximum(either, 1) >= least
+        ids, lead = np.concatenate([a, b]), _leads(near)
+        n = np.concatenate([near.sum(axis=1), near.sum(axis=0)])
+        has = n > 0
+        return pa.table({"a": ids[has], "b": ids[lead[has]], "n": n[has].astype(np.int64)})
+
+    return x.groupBy("root", "s", "t").cogroup(y.groupBy("root", "s", "t")).applyInArrow(compare, "a bigint, b bigint, n bigint")
+
+
+def near_links(prints: DataFrame, words: int = WORDS, max_share: float = MAX_SHARE, least: float = MIN_SIMILARITY, tile: int = TILE, crowd: int = CROWD) -> DataFrame:
+    """``(a, b, n)``: all links between rows ``(rep, f0, ..., sketch)``, rep a number, that is, pairs that differ in at most ``max_share`` of the bits
+    and whose sketches agree to at least ``least``. n is how many links of a the row stands for, 1 where a and b are linked by themselves.
+
+    All rows that share a key of their sketches are compared, however many; keys of one row, which are most, go before anything is
+    joined. Rows chained by keys that more than ``crowd`` rows hold are compared with each other once, if that
+    is less work than by key, as when many versions of a text share most of its keys."""
+    most = most_bits(words, max_share)
+    inside = Window.partitionBy("key")
+    placed = sketch_keys(prints, least).withColumns({"n": F.count("*").over(inside), "at": F.row_number().over(inside.orderBy("rep")), "first": F.min("rep").over(inside)}).where("n > 1")
+    placed = written(placed, "shared-keys")
+    hot, crowds = placed.where(F.col("n") > crowd), None
+    if not hot.isEmpty():
+        roots = written(connected_components(hot.select(F.col("first").alias("a"), F.col("rep").alias("b"))), "crowds")
+        work = hot.join(roots, F.col("rep") == F.col("node")).groupBy("root").agg(F.sum("n").alias("by_key"))
+        size = roots.groupBy("root").agg(F.count("*").alias("size"))
+        chosen = work.join(size, "root").where(F.col("size").cast("double") * F.col("size") <= F.col("by_key")).select("root")
+        crowds = written(roots.join(chosen, "root").select("root", F.col("node").alias("rep")), "crowds")
+        placed = hot.join(crowds, "rep", "left_anti").unionByName(placed.where(F.col("n") <= crowd))
+    x, y = _tiles(placed.drop("first"), tile)
+    meet = x.withColumnRenamed("rep", "a").join(y.withColumnRenamed("rep", "b"), ["key", "s", "t"]).where("a < b").select("a", "b").distinct()
+    if crowds is not None:
+        of = lambda c: crowds.select(F.col("rep").alias(c), F.col("root").alias(f"of_{c}"))
+        meet = meet.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False))).select("a", "b")
     near = meet.join(prints.alias("p"), F.col("a") == F.col("p.rep")).join(prints.alias("q"), F.col("b") == F.col("q.rep"))
-    most = int(max_share * words * (63 // per_word) * per_word)
-    return near.select("a", "b", _distance("p", "q", words).alias("distance")).where(F.col("distance") <= most)
+    pairs = alike(near.where(_distance("p", "q", words) <= most).select("a", "b"), prints, least)
+    links = pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).withColumn("n", F.lit(1).cast("long"))
+    if crowds is None:
+        return links
+    return links.unionByName(crowd_links(crowds.join(prints.select("rep", *[f"f{k}" for k in range(words)], "sketch"), "rep"), words, most, least, tile))
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, per_word: int = PER_WORD, max_share: float = MAX_SHARE, only: DataFrame | None = None) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_share: float = MAX_SHARE, only: DataFrame | None = None) -> DataFrame:
     """``(id, th, group_id, keep, n_links)`` for each row of ``docs``: the least id of its group of near
     duplicates, which are chains of near pairs, whether it is the one to stay, and of how many texts with
     another fingerprint or sketch its own is a near copy.
@@ -244,11 +381,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key = F.struct("id", "th")
     firsts = some.groupBy("f0", "all").agg(F.min(key).alias("first"), *[F.first(n).alias(n) for n in [*names[1:], "sketch"]])
     prints = written(firsts.withColumn("rep", F.monotonically_increasing_id()), "distinct-fingerprints")
-    links = written(alike(near_pairs(prints, words, per_word, max_share), prints), "links")
+    links = written(near_links(prints, words, max_share), "links")
     roots = connected_components(links)
     inside = roots.join(prints.select(F.col("rep").alias("node"), "first"), "node")
     leads = inside.join(inside.groupBy("root").agg(F.min("first").alias("lead")), "root").select(F.col("node").alias("rep"), "lead")
-    counts = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     reps = prints.select("f0", "all", "rep", "first").join(leads.join(counts, "rep"), "rep", "left")
     reps = reps.select("f0", "all", F.coalesce("lead", "first").alias("lead"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     grouped = some.select("id", "th", "f0", "all").join(reps, ["f0", "all"]).select("id", "th", F.col("lead.id").alias("group_id"), (key == F.col("lead")).alias("keep"), "n_links")

@@ -303,3 +303,51 @@ def test_the_list_of_a_documents_long_words_is_no_copy(spark, documents):
     made = simhash.Sketcher()
     assert made.one(None) is None and made.one(" ") is None and made.one("!!!") != made.one("???") and made.one("a b") == made.one("A, b")
     assert simhash.similarity([made.one("a b c " * 50)], [made.one("a b c " * 2)])[0] < 0.2
+
+
+def test_no_pair_up_to_the_threshold_is_missed(spark):
+    most = int(simhash.MAX_SHARE * 63 * simhash.WORDS)
+    rows = flipped(np.random.default_rng(21), [most] * 300 + [most + 1] * 20)
+    found = {(r["a"], r["b"], r["distance"]) for r in simhash.near_pairs(spark.createDataFrame(rows, PRINTS), tile=200).collect()}
+    assert found == {(2 * k, 2 * k + 1, most) for k in range(300)}
+
+
+def test_sketches_at_the_threshold_share_a_key():
+    """As few equal lanes as count, the others filled in both sketches or in one."""
+    rng, levels = np.random.default_rng(22), simhash.key_levels()
+
+    def keys(v):
+        mine = [(low, i, j) for low, high, i, j in levels if (v > 0).sum() <= high and (v > 0).sum() / low >= simhash.MIN_SIMILARITY]
+        return {(low, a, b, v[a], v[b]) for low, i, j in mine for a, b in zip(i, j, strict=True) if v[a] and v[b]}
+
+    for filled in range(1, simhash.LANES + 1):
+        equal = next(e for e in range(1, filled + 1) if e / filled >= simhash.MIN_SIMILARITY)
+        for share in (0.0, 0.3, 1.0):
+            a, b, lanes = np.zeros(simhash.LANES, int), np.zeros(simhash.LANES, int), rng.permutation(simhash.LANES)[:filled]
+            a[lanes], b[lanes] = rng.integers(1, 1 << 14, filled), rng.integers(1 << 14, 1 << 15, filled)
+            a[lanes[:equal]] = b[lanes[:equal]]
+            only = rng.random(filled) < share
+            only[:equal] = False
+            b[lanes[only]] = 0
+            assert keys(a) & keys(b)
+
+
+def test_links_against_all_pairs(spark, documents):
+    """Pairs up to the threshold, short texts and many versions of one text, by key and in crowds: each text's links are counted in full."""
+    rng, rows = random.Random(23), []
+    for n in (2, 4, 7, 12, 30, 60, 120, 250):
+        base = prose(rng, n)
+        rows += [" ".join(edited(rng, base, share)) for share in (0, 0.03, 0.07, 0.1, 0.12, 0.15)]
+    base = prose(rng, 150)
+    rows += [" ".join(edited(rng, base, 0.06)) for _ in range(90)]
+    rows = list(enumerate(dict.fromkeys(rows)))
+    prints = simhash.fingerprints(documents(rows)).withColumnRenamed("id", "rep").cache()
+    sketch = {r["rep"]: bytes(r["sketch"]) for r in prints.collect()}
+    expected = defaultdict(int)
+    for a, b in brute_groups(rows)[0]:
+        if simhash.similarity([sketch[a]], [sketch[b]])[0] >= simhash.MIN_SIMILARITY:
+            expected[a] += 1
+            expected[b] += 1
+    for crowd in (10, 1000):
+        links = simhash.near_links(prints, tile=32, crowd=crowd).groupBy("a").agg(F.sum("n").alias("n")).collect()
+        assert {r["a"]: r["n"] for r in links} == expected
