@@ -15,18 +15,20 @@ Pairs are looked for by what both must have, so that none is missed. Blocks of t
 is untouched in every pair at ``MAX_SHARE`` would hold six bits, and each a fiftieth of the corpus. Sketches can: of lanes of which 0.3 are
 equal, dealt out to one group fewer than there are equal ones, two equal ones share a group. So the pairs of lanes within
 groups are keys of 30 bits (``key_levels``), of which any pair that counts shares one, and all rows that share a key are
-compared, in tiles, so that a key of any frequency is many tasks. Then the fingerprints are held against each other, and the sketches.
+compared. Up to ``CROWD`` rows give their pairs, which meet their fingerprints by joins. More rows get their fingerprints and sketches first and are
+compared where they lie, in tiles, so that a key of any frequency is many tasks and only links are written.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,8 +52,12 @@ _ROWS = 1024
 TILE = 1024
 #: Least numbers of filled lanes of the levels of keys: a sketch has keys for each level that a partner may bring it to.
 LEVELS = (1, 4, 7, 17, 27, 47, 71, 104)
-#: Rows that share a key beyond which it is looked whether they are versions of one text.
-CROWD = 128
+#: Rows of a hot key, compared in the same way; they travel with their fingerprints and sketches, once for each tile of the key.
+HOT_TILE = 4096
+#: Rows that share a key beyond which they are compared where they lie.
+CROWD = 32
+#: Keys of the same level that a hot key looks at before its own: pairs that share one of them are left to it.
+EARLIER = 16
 
 
 class _Bits(dict):
@@ -145,19 +151,6 @@ def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return ((x == y) & (x > 0)).sum(axis=1) / np.maximum(((x > 0) | (y > 0)).sum(axis=1), 1)
 
 
-def alike(pairs: DataFrame, sketches: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
-    """The pairs ``(a, b)`` whose sketches in ``(rep, sketch)`` are similar enough."""
-    both = pairs.select("a", "b").join(sketches.selectExpr("rep as a", "sketch as x"), "a").join(sketches.selectExpr("rep as b", "sketch as y"), "b").select("a", "b", "x", "y")
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if batch.num_rows:
-                good = similarity(batch.column(2).to_pylist(), batch.column(3).to_pylist()) >= least
-                yield batch.select([0, 1]).filter(pa.array(good))
-
-    return both.mapInArrow(batches, "a bigint, b bigint")
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``(id, th, f0, f1, ..., sketch)`` for each row: its id, a hash of its text, its fingerprint, its
     sketch of shingles. A null, empty or blank text has a null fingerprint and sketch."""
@@ -176,8 +169,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(batches, schema)
 
 
-def _distance(a: str, b: str, words: int) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.f{k}").bitwiseXOR(F.col(f"{b}.f{k}"))) for k in range(words)])
+def _distance(a: str, b: str, words: Iterable[int]) -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.f{k}").bitwiseXOR(F.col(f"{b}.f{k}"))) for k in words], F.lit(0))
 
 
 def block_keys(words: int = WORDS, per_word: int = PER_WORD) -> list[Column]:
@@ -227,14 +220,14 @@ def sketch_keys(prints: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
             for k in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(k, _ROWS)
                 reps = part.column(0).to_numpy()
-                lanes = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, LANES).astype(np.int64)
+                lanes = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, LANES)
                 filled = (lanes > 0).sum(axis=1)
                 for n, (low, high, i, j) in enumerate(levels):
                     here = np.flatnonzero((filled <= high) & (filled / low >= least))
                     if len(here):
                         x, y = lanes[here][:, i], lanes[here][:, j]
                         row, at = np.nonzero((x > 0) & (y > 0))
-                        keys = ((n << 13) + at << 30) + (x[row, at] - 1 << 15) + y[row, at] - 1
+                        keys = ((n << 13) + at << 30) + (x[row, at].astype(np.int64) - 1 << 15) + y[row, at] - 1
                         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(reps[here[row]])], names=["key", "rep"])
 
     return prints.select("rep", "sketch").mapInArrow(batches, "key bigint, rep bigint")
@@ -286,80 +279,89 @@ def near_pairs(prints: DataFrame, words: int = WORDS, max_share: float = MAX_SHA
     return x.groupBy("root", "s", "t").cogroup(y.groupBy("root", "s", "t")).applyInArrow(compare, "a bigint, b bigint, distance int")
 
 
-def _leads(near: np.ndarray) -> np.ndarray:
-    """Of rows and columns of a table of links, numbered one after the other, the first that each is linked to by any chain."""
-    rows, columns = near.shape
-    lead = np.arange(rows + columns)
-    seen = np.zeros(rows + columns, bool)
-    for start in np.flatnonzero(near.any(axis=1)):
-        if seen[start]:
-            continue
-        new = np.array([start])
-        while len(new):
-            seen[new] = True
-            lead[new] = start
-            up, across = new[new < rows], new[new >= rows] - rows
-            reached = np.concatenate([near[:, across].any(axis=1), near[up].any(axis=0)])
-            new = np.flatnonzero(reached & ~seen)
-    return lead
-
-
-def crowd_links(crowds: DataFrame, words: int, most: int, least: float, tile: int = TILE) -> DataFrame:
-    """``(a, b, n)``: all links within each group of rows ``(root, rep, f0, ..., sketch)``, every pair of which is compared once. A
-    row stands for n links of a; the rows' edges (a, b) join what the links join, without one for each link."""
-    inside = Window.partitionBy("root")
-    x, y = _tiles(crowds.withColumns({"n": F.count("*").over(inside), "at": F.row_number().over(inside.orderBy("rep"))}), tile)
+def alike(pairs: DataFrame, prints: DataFrame, words: int, most: int, least: float) -> DataFrame:
+    """The pairs ``(a, b)`` of rows ``(rep, f0, ..., sketch)`` that count. Half of each fingerprint goes first: where it differs in more than ``most``
+    bits, so does the whole, and chance pairs, which are most, carry no more than that."""
+    first, rest = range(words // 2), range(words // 2, words)
 
-    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
-        if not x.num_rows or not y.num_rows:
-            return pa.table({k: pa.array([], pa.int64()) for k in "abn"})
-        a, b, near, _ = _near(x, y, words, most)
-        if near.any():
-            one, two = (np.frombuffer(b"".join(z["sketch"].to_pylist()), "<u2").reshape(-1, LANES) for z in (x, y))
-            equal, either = np.zeros(near.shape, np.uint8), np.zeros(near.shape, np.uint8)
-            for k in range(LANES):
-                p, q = one[:, k, None], two[None, :, k]
-                equal += (p == q) & (p > 0)
-                either += (p > 0) | (q > 0)
-            near &= equal / np.maximum(either, 1) >= least
-        ids, lead = np.concatenate([a, b]), _leads(near)
-        n = np.concatenate([near.sum(axis=1), near.sum(axis=0)])
-        has = n > 0
-        return pa.table({"a": ids[has], "b": ids[lead[has]], "n": n[has].astype(np.int64)})
-
-    return x.groupBy("root", "s", "t").cogroup(y.groupBy("root", "s", "t")).applyInArrow(compare, "a bigint, b bigint, n bigint")
-
-
-def near_links(prints: DataFrame, words: int = WORDS, max_share: float = MAX_SHARE, least: float = MIN_SIMILARITY, tile: int = TILE, crowd: int = CROWD) -> DataFrame:
+    def met(pairs: DataFrame, *names: str) -> DataFrame:
+        of = prints.select("rep", *names)
+        return pairs.join(of.alias("p"), F.col("a") == F.col("p.rep")).join(of.alias("q"), F.col("b") == F.col("q.rep"))
+
+    near = met(pairs, *[f"f{k}" for k in first]).select("a", "b", _distance("p", "q", first).alias("d")).where(F.col("d") <= most)
+    near = met(near, *[f"f{k}" for k in rest], "sketch").where(F.col("d") + _distance("p", "q", rest) <= most)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if batch.num_rows:
+                good = similarity(batch.column(2).to_pylist(), batch.column(3).to_pylist()) >= least
+                yield batch.select([0, 1]).filter(pa.array(good))
+
+    return near.select("a", "b", F.col("p.sketch").alias("x"), F.col("q.sketch").alias("y")).mapInArrow(batches, "a bigint, b bigint")
+
+
+def _lanes(sketches: list[bytes]) -> np.ndarray:
+    """Sketches, lane by lane."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(sketches), "<u2").reshape(-1, LANES).T)
+
+
+def hot_links(hot: DataFrame, prints: DataFrame, words: int, most: int, least: float, tile: int = HOT_TILE) -> DataFrame:
+    """``(a, b)``: the links a < b among rows ``(key, rep, n, at)`` that share a key. A pair that shares earlier keys of the level, too, as versions of
+    one text do, is left to the first of them, so that it is written about once, not once a key. A pair may still come twice."""
+    names, levels = [f"f{k}" for k in range(words)], key_levels(least)
+    place = lambda c: F.floor((F.col(c) - 1) / tile).cast("int")
+    rows = hot.select("key", "rep", place("at").alias("tile"), F.explode(F.sequence(F.lit(0), place("n"))).alias("other"))
+    rows = rows.select("key", "rep", "tile", F.least("tile", "other").alias("s"), F.greatest("tile", "other").alias("t"))
+
+    def links(key: int, x: pa.Table, y: pa.Table, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        _, _, i, j = levels[key >> 43]
+        at = key >> 30 & 8191
+        made = [(z["rep"].to_numpy(), np.stack([z[n].to_numpy() for n in names], axis=1), _lanes(z["sketch"].to_pylist())) for z in (x, y)]
+        for k in range(0, x.num_rows, _ROWS):
+            for m in range(k if same else 0, y.num_rows, _ROWS):
+                (a, f, p), (b, g, q) = ((ids[o : o + _ROWS], bits[o : o + _ROWS], lanes[:, o : o + _ROWS]) for (ids, bits, lanes), o in zip(made, (k, m), strict=True))
+                left = a[:, None] < b[None, :]
+                for e in range(min(at, EARLIER)):
+                    if not left.any():
+                        break
+                    u, v = i[e], j[e]
+                    left &= ~((p[u, :, None] == q[u, None, :]) & (p[v, :, None] == q[v, None, :]) & ((p[u] > 0) & (p[v] > 0))[:, None])
+                one, two = np.nonzero(left)
+                for c in range(0, len(one), 1 << 15):
+                    r, s = one[c : c + (1 << 15)], two[c : c + (1 << 15)]
+                    near = np.bitwise_count(f[r] ^ g[s]).sum(axis=1) <= most
+                    r, s = r[near], s[near]
+                    v, w = p[:, r], q[:, s]
+                    good = ((v == w) & (v > 0)).sum(axis=0) / np.maximum(((v > 0) | (w > 0)).sum(axis=0), 1) >= least
+                    yield a[r[good]], b[s[good]]
+
+    def compare(group: pa.Table) -> pa.Table:
+        same = group["s"][0].as_py() == group["t"][0].as_py()
+        group = group.sort_by("rep")
+        x, y = (group, group) if same else (group.filter(pc.equal(group["tile"], group[c][0])) for c in "st")
+        found = list(links(group["key"][0].as_py(), x, y, same))
+        return pa.table({c: np.concatenate([np.zeros(0, np.int64), *[z[n] for z in found]]) for n, c in enumerate("ab")})
+
+    return rows.join(prints.select("rep", *names, "sketch"), "rep").groupBy("key", "s", "t").applyInArrow(compare, "a bigint, b bigint")
+
+
+def near_links(prints: DataFrame, words: int = WORDS, max_share: float = MAX_SHARE, least: float = MIN_SIMILARITY, tile: int = HOT_TILE, crowd: int = CROWD) -> DataFrame:
     """``(a, b, n)``: all links between rows ``(rep, f0, ..., sketch)``, rep a number, that is, pairs that differ in at most ``max_share`` of the bits
-    and whose sketches agree to at least ``least``. n is how many links of a the row stands for, 1 where a and b are linked by themselves.
+    and whose sketches agree to at least ``least``, from either side. n is 1.
 
     All rows that share a key of their sketches are compared, however many; keys of one row, which are most, go before anything is
-    joined. Rows chained by keys that more than ``crowd`` rows hold are compared with each other once, if that
-    is less work than by key, as when many versions of a text share most of its keys."""
+    joined. ``crowd`` decides how rows are compared, not whether."""
     most = most_bits(words, max_share)
     inside = Window.partitionBy("key")
-    placed = sketch_keys(prints, least).withColumns({"n": F.count("*").over(inside), "at": F.row_number().over(inside.orderBy("rep")), "first": F.min("rep").over(inside)}).where("n > 1")
+    placed = sketch_keys(prints, least).withColumns({"n": F.count("*").over(inside), "at": F.row_number().over(inside.orderBy("rep"))}).where("n > 1")
     placed = written(placed, "shared-keys")
-    hot, crowds = placed.where(F.col("n") > crowd), None
+    few = placed.where(F.col("n") <= crowd).select("key", "rep")
+    meet = few.withColumnRenamed("rep", "a").join(few.withColumnRenamed("rep", "b"), "key").where("a < b").select("a", "b").distinct()
+    pairs = alike(written(meet, "pairs"), prints, words, most, least)
+    hot = placed.where(F.col("n") > crowd)
     if not hot.isEmpty():
-        roots = written(connected_components(hot.select(F.col("first").alias("a"), F.col("rep").alias("b"))), "crowds")
-        work = hot.join(roots, F.col("rep") == F.col("node")).groupBy("root").agg(F.sum("n").alias("by_key"))
-        size = roots.groupBy("root").agg(F.count("*").alias("size"))
-        chosen = work.join(size, "root").where(F.col("size").cast("double") * F.col("size") <= F.col("by_key")).select("root")
-        crowds = written(roots.join(chosen, "root").select("root", F.col("node").alias("rep")), "crowds")
-        placed = hot.join(crowds, "rep", "left_anti").unionByName(placed.where(F.col("n") <= crowd))
-    x, y = _tiles(placed.drop("first"), tile)
-    meet = x.withColumnRenamed("rep", "a").join(y.withColumnRenamed("rep", "b"), ["key", "s", "t"]).where("a < b").select("a", "b").distinct()
-    if crowds is not None:
-        of = lambda c: crowds.select(F.col("rep").alias(c), F.col("root").alias(f"of_{c}"))
-        meet = meet.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False))).select("a", "b")
-    near = meet.join(prints.alias("p"), F.col("a") == F.col("p.rep")).join(prints.alias("q"), F.col("b") == F.col("q.rep"))
-    pairs = alike(near.where(_distance("p", "q", words) <= most).select("a", "b"), prints, least)
-    links = pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).withColumn("n", F.lit(1).cast("long"))
-    if crowds is None:
-        return links
-    return links.unionByName(crowd_links(crowds.join(prints.select("rep", *[f"f{k}" for k in range(words)], "sketch"), "rep"), words, most, least, tile))
+        pairs = pairs.unionByName(hot_links(hot, prints, words, most, least, tile)).distinct()
+    return pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).withColumn("n", F.lit(1).cast("long"))
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_share: float = MAX_SHARE, only: DataFrame | None = None) -> DataFrame:

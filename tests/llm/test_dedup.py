@@ -351,3 +351,52 @@ def test_links_against_all_pairs(spark, documents):
     for crowd in (10, 1000):
         links = simhash.near_links(prints, tile=32, crowd=crowd).groupBy("a").agg(F.sum("n").alias("n")).collect()
         assert {r["a"]: r["n"] for r in links} == expected
+
+
+def shuffled(spark):
+    """Rows that the session's stages have shuffled so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_versions_of_a_text_that_others_share_keys_with_are_written_once(spark):
+    """Two hundred versions of one text, of which ten each share a key with two hundred other texts: most pairs of versions share dozens of keys."""
+    rng, words = np.random.default_rng(31), simhash.WORDS
+    base, print_ = rng.integers(1, 1 << 15, simhash.LANES), rng.integers(0, 1 << 63, words)
+    sketches = np.where(rng.random((1800, simhash.LANES)) < 0.7, base, rng.integers(1, 1 << 15, (1800, simhash.LANES)))
+    sketches[200:] = rng.integers(1, 1 << 15, (1600, simhash.LANES))
+    _, _, i, j = simhash.key_levels()[-1]
+    for k in range(8):
+        for lane in (i[10 * k], j[10 * k]):
+            sketches[200 + 200 * k : 400 + 200 * k, lane] = sketches[10 * k : 10 * k + 10, lane] = rng.integers(1, 1 << 15)
+    rows = [(k, *(print_ if k < 200 else rng.integers(0, 1 << 63, words)).tolist(), s.astype("<u2").tobytes()) for k, s in enumerate(sketches)]
+    equal = (sketches[:200, None] == sketches[None, :200]).sum(axis=2)
+    confs = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        made = shuffled(spark)
+        got = simhash.near_links(spark.createDataFrame(rows, PRINTS + ", sketch binary")).collect()
+        made = shuffled(spark) - made
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r["a"], r["b"]) for r in got} == {(a, b) for a in range(200) for b in range(200) if a != b and equal[a, b] / simhash.LANES >= simhash.MIN_SIMILARITY}
+    assert len(got) == len({(r["a"], r["b"]) for r in got}) > 30_000 and made < 700_000
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    import time
+    from pathlib import Path
+
+    from gleaner.llm.common import written
+
+    folders = [Path(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {p for d in folders for p in d.rglob("shuffle_*.data")}
+    there, until = files(), time.time() + 5
+    written(spark.range(10_000).groupBy((F.col("id") % 1000).alias("k")).count(), "test")
+    while files() - there and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - there
