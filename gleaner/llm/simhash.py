@@ -60,15 +60,22 @@ CROWD = 32
 EARLIER = 16
 
 
+def _hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "big")
+
+
 class _Bits(dict):
-    """Rows of a table of hashed bits by feature; a feature that isn't there yet gets the next one."""
+    """Rows of tables of hashed bits, weights and 64-bit hashes by feature; a feature that isn't there yet gets the next one."""
 
     def __init__(self, words: int) -> None:
         self.size, self.table = words * 8, np.zeros((_CACHE_WORDS, words * 8), np.uint8)
+        self.weights, self.hashes = np.zeros(_CACHE_WORDS, np.uint16), np.zeros(_CACHE_WORDS, np.uint64)
 
     def __missing__(self, feature: str) -> int:
-        n = self[feature] = len(self)
-        self.table[n] = np.frombuffer(hashlib.shake_128(feature.encode("utf-8", "surrogatepass")).digest(self.size), np.uint8)
+        n, raw = len(self), feature.encode("utf-8", "surrogatepass")
+        self[feature] = n
+        self.table[n] = np.frombuffer(hashlib.shake_128(raw).digest(self.size), np.uint8)
+        self.weights[n], self.hashes[n] = min(len(feature), MAX_LETTERS), _hash(raw)
         return n
 
 
@@ -85,10 +92,18 @@ class Fingerprinter:
             part = features[k : k + _ROWS]
             if len(self.at) + len(part) > _CACHE_WORDS:
                 self.at.clear()
-            bits = np.unpackbits(self.at.table[np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))], axis=1)
-            total += np.einsum("i,ij->j", weights[k : k + _ROWS].astype(np.uint16), bits, dtype=np.uint16, casting="unsafe")
+            total += self._sum(np.fromiter(map(self.at.__getitem__, part), np.int64, len(part)), weights[k : k + _ROWS].astype(np.uint16))
         return total
 
+    def _sum(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        return np.einsum("i,ij->j", weights, np.unpackbits(self.at.table[rows], axis=1), dtype=np.uint16, casting="unsafe")
+
+    @staticmethod
+    def _print(votes: np.ndarray, weight: int) -> np.ndarray:
+        bits = votes * 2 > weight
+        bits[::64] = False
+        return np.packbits(bits).view(">i8").astype(np.int64)
+
     def one(self, text: str | None) -> np.ndarray | None:
         if not text or not text.strip():
             return None
@@ -97,9 +112,21 @@ class Fingerprinter:
             found.update(WORD.findall(piece.lower()))
         features = list(found) or [text.strip()]
         weights = np.minimum(np.fromiter(map(len, features), np.int64, len(features)), MAX_LETTERS)
-        bits = self._votes(features, weights) * 2 > weights.sum()
-        bits[::64] = False
-        return np.packbits(bits).view(">i8").astype(np.int64)
+        return self._print(self._votes(features, weights), weights.sum())
+
+    def both(self, text: str | None, sketcher: Sketcher) -> tuple[np.ndarray | None, bytes | None]:
+        """Fingerprint and sketch; the words of a text that fits the table are looked up once for the two."""
+        words = WORD.findall(text.lower()) if text and len(text) <= _CACHE_WORDS else []
+        if not words:
+            return self.one(text), sketcher.one(text)
+        if len(self.at) + len(words) > _CACHE_WORDS:
+            self.at.clear()
+        rows = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        found = np.unique(rows)
+        weights, votes = self.at.weights[found], np.zeros(self.words * 64, np.int64)
+        for k in range(0, len(found), _ROWS):
+            votes += self._sum(found[k : k + _ROWS], weights[k : k + _ROWS])
+        return self._print(votes, weights.sum(dtype=np.int64)), sketcher.of(self.at.hashes[rows])
 
 
 class _Hashes(dict):
@@ -108,7 +135,7 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= _CACHE_WORDS:
             self.clear()
-        found = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+        found = self[word] = _hash(word.encode("utf-8", "surrogatepass"))
         return found
 
 
@@ -131,6 +158,10 @@ class Sketcher:
         words = np.concatenate(parts)
         if not len(words):
             words = np.array([self.at[text.strip()]], np.uint64)
+        return self.of(words)
+
+    def of(self, words: np.ndarray) -> bytes:
+        """The sketch of a text with words of these hashes."""
         width = min(SHINGLE, len(words))
         marks = np.zeros(len(words) - width + 1, np.uint64)
         for k in range(width):
@@ -161,10 +192,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, sketcher = Fingerprinter(words), Sketcher()
         for batch in it:
-            prints = [made.one(t.as_py()) for t in batch.column(2)]
+            marks = [made.both(t.as_py(), sketcher) for t in batch.column(2)]
+            prints, sketches = [p for p, _ in marks], [s for _, s in marks]
             null = np.array([p is None for p in prints], bool)
             table = np.array([np.zeros(words, np.int64) if p is None else p for p in prints], np.int64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(table[:, k], mask=null) for k in range(words)], pa.array([sketcher.one(t.as_py()) for t in batch.column(2)], pa.binary())], names=["id", "th", *names, "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(table[:, k], mask=null) for k in range(words)], pa.array(sketches, pa.binary())], names=["id", "th", *names, "sketch"])
 
     return rows.mapInArrow(batches, schema)
 
