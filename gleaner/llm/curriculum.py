@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,7 +109,10 @@ def mix(docs: DataFrame, schedule: Schedule | None = SCHEDULE, id_col: str = "do
     uses = {s: curves[s][-1][2] / n for s, n in supply.items() if n}
     if max_epochs is None and max(uses.values(), default=0) > MOST_USES:
         raise ValueError(f"sources are too small for their weights: {sorted(s for s, n in uses.items() if n > MOST_USES)}")
-    plan = spark.createDataFrame([(s, k, supply[s]) for s, k in curves.items()], f"`{src}` string, `{curve}` array<struct<t: double, w: double, d: double>>, `{supply_c}` double")
+    # from Arrow, since a list of rows goes through Python workers of its own, which then stay beside the others
+    points = pa.list_(pa.struct([(c, pa.float64()) for c in "twd"]))
+    made = [pa.array(list(curves), pa.string()), pa.array([[dict(zip("twd", p, strict=True)) for p in k] for k in curves.values()], points), pa.array([supply[s] for s in curves], pa.float64())]
+    plan = spark.createDataFrame(pa.table(made, names=[src, curve, supply_c]))
     before = F.coalesce(F.sum(tokens).over(Window.partitionBy(src).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(src, bucket, before.alias(base)).join(plan, src)
     placed = rows.join(starts, [src, bucket]).withColumn(th, F.xxhash64(col(text_col)))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import col, fresh, written
+from gleaner.llm.common import col, fresh, small_batches, written
 
 MIN_CHARS = 20
 
@@ -39,6 +39,7 @@ def line_hashes(text: str, min_chars: int = MIN_CHARS) -> dict[int, list[int]]:
 def line_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``(id, th, h, at)``: a row for each document and distinct line hash in it, with the line
     numbers. Null ids and null texts give none."""
+    small_batches(docs.sparkSession)
     rows = docs.where(col(id_col).isNotNull() & col(text_col).isNotNull()).select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("th"), col(text_col).cast("string").alias("text"))
     schema = T.StructType([rows.schema["id"], T.StructField("th", T.LongType()), T.StructField("h", T.LongType()), T.StructField("at", T.ArrayType(T.IntegerType()))])
 

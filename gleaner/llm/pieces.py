@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import col
+from gleaner.llm.common import col, hold, small_batches
 
 MODEL = os.environ.get("GLEANER_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
@@ -279,10 +279,12 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", ids_col: str = "token
     texts are encoded; characters outside the vocabulary as their UTF-8 bytes. Columns stay as they are; a
     column that has the name ``ids_col`` is replaced. Repeated rows stay, each with the same ids; ties between merges fall to the
     leftmost; an empty table stays empty. A text stands in memory whole, with some arrays of its length."""
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = piece_model(model)
+        hold(m)
         for column in texts:
             lists, step = [], 128
             for k in range(0, len(column), step):
@@ -297,6 +299,7 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", ids_col: str = "token
 def decode_pieces(docs: DataFrame, ids_col: str = "token_ids", text_col: str = "decoded", model: str = MODEL) -> DataFrame:
     """``docs`` and the text of each list of ids: null for null, empty for an empty list. Bytes
     that aren't UTF-8 become one replacement character each; null ids are skipped, others outside the vocabulary are errors."""
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf(T.StringType())
     def decode(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -309,11 +312,13 @@ def decode_pieces(docs: DataFrame, ids_col: str = "token_ids", text_col: str = "
 
 def with_round_trip(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", same_col: str = "round_trip", model: str = MODEL) -> DataFrame:
     """Encodes and decodes in one pass: the ids of each text, and whether they decode to it. Both are null for null."""
+    small_batches(docs.sparkSession)
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())])
 
     @F.arrow_udf(kind)
     def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = piece_model(model)
+        hold(m)
         for column in texts:
             lists, same = [], []
             for k in range(0, len(column), 128):

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import WORD, col, pieces, written
+from gleaner.llm.common import WORD, col, hold, pieces, small_batches, written
 from gleaner.llm.components import connected_components
 
 WORDS = 16
@@ -185,11 +185,13 @@ def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``(id, th, f0, f1, ..., sketch)`` for each row: its id, a hash of its text, its fingerprint, its
     sketch of shingles. A null, empty or blank text has a null fingerprint and sketch."""
+    small_batches(docs.sparkSession)
     names = [f"f{k}" for k in range(words)]
     rows = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("th"), col(text_col).cast("string").alias("text"))
     schema = T.StructType([rows.schema["id"], T.StructField("th", T.LongType()), *[T.StructField(n, T.LongType()) for n in names], T.StructField("sketch", T.BinaryType())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(None)
         made, sketcher = Fingerprinter(words), Sketcher()
         for batch in it:
             marks = [made.both(t.as_py(), sketcher) for t in batch.column(2)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import WORD, col, fresh, pieces
+from gleaner.llm.common import WORD, col, fresh, hold, pieces, small_batches
 from gleaner.llm.simhash import MAX_SHARE, WORDS, Fingerprinter
 
 #: At most this many labelled documents, those with the least hash of their id, train the model.
@@ -34,7 +34,7 @@ L2 = 1e-4
 STEPS = 300
 #: A document is rejected from this probability of any grade above 0.
 REJECT = 0.4
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 
 
 class _WordWeights(dict):
@@ -63,9 +63,13 @@ class OrdinalModel:
         below = 1 / (1 + np.exp(np.clip(scores[:, None] - np.array(self.cuts)[None, :], -40, 40)))
         return np.diff(np.hstack([np.zeros((len(scores), 1)), below, np.ones((len(scores), 1))]), axis=1)
 
+    def words(self) -> _WordWeights:
+        if not hasattr(self, "_of"):
+            self._of = _WordWeights(self.weights)
+        return self._of
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        weight = _WordWeights(self.weights).__getitem__ if not hasattr(self, "_of") else self._of
-        self._of = weight
+        weight = self.words().__getitem__
         out = np.zeros(len(texts))
         for k, text in enumerate(texts):
             total, n = 0.0, 0
@@ -136,6 +140,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     the text's fingerprint."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(None)
         prints = Fingerprinter(WORDS)
         for batch in it:
             found, rates, marks = [], [], []
@@ -174,6 +179,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     and ids don't. Labels of one value only, or none, give a model that finds nothing.
 
     The sample is bounded by ``train_rows``, so its ids may be broadcast and its words collected."""
+    small_batches(docs.sparkSession)
     one = labels.where(col(label_col).isNotNull() & col(id_col).isNotNull()).groupBy(col(id_col).alias("id")).agg(F.max(col(label_col)).cast("int").alias("label"))
     picked = one.orderBy(F.xxhash64("id"), "id").limit(train_rows)
     text = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).where("text is not null")
@@ -226,12 +232,14 @@ def with_severity(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
     count whole, in pieces. Repeated rows stay, each with the same struct; of grades equally likely the least is taken; an empty table stays empty. Only the
     text goes through Python, so no column can clash but one that has the name, which is replaced."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("expected", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("rejected", T.BooleanType())])
 
     @F.arrow_udf(kind)
     def severity(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
+        hold(m.words())
         for column in texts:
             p = m.probabilities(m.scores(column.to_pylist())) if m.cuts else np.ones((len(column), 1))
             expected = p @ np.arange(p.shape[1])

@@ -1,12 +1,15 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import sentencepiece
+from pyspark.sql import functions as F
 from tests.llm.test_dedup import brute_groups, brute_lines, edited, prose
 from tests.llm.test_toxicity_curriculum import BAD
 
 import corpus_pipeline
-from gleaner.llm import curriculum, pieces
+from gleaner.llm import curriculum, line_dedup, pieces, simhash, toxicity
+from gleaner.llm.common import hold
 
 
 def test_every_stage_against_plain_python(spark, tmp_path):
@@ -63,3 +66,49 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
     odd.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"] or 0, r["n_tokens"] is None) for r in got) == [(0, False), (1, True), (2, False), (2, False), (3, False)]
+
+
+def test_texts_go_to_python_in_batches_bounded_by_bytes(spark):
+    """10,000 texts of 2,000 letters, Spark's own bound, would be one batch of 20 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 10_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 2000).alias("text"))
+
+    def sizes(it):
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    makers = [simhash.fingerprints, line_dedup.line_postings, pieces.encode_pieces, pieces.with_round_trip, lambda d: toxicity.with_severity(d, toxicity.OrdinalModel())]
+    before = spark.conf.get(name, None)
+    try:
+        for make in makers:
+            spark.conf.unset(name)
+            make(docs)
+            got = docs.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r["n"] for r in got) == 10_000 and max(r["size"] for r in got) < 3 << 20
+        spark.conf.set(name, "5m")
+        for make in makers:
+            make(docs)
+            assert spark.conf.get(name) == "5m"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_the_curriculum_needs_no_python_workers(spark):
+    """A list of rows as a table is read by Python workers of its own, which stay for a minute."""
+    table = spark.range(19).selectExpr("id doc_id", "concat('a b ', id) text", "concat('src', id % 3) source")
+    plan = curriculum.mix(table, schedule=None)._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "LogicalRDD" not in plan
+
+
+def test_a_worker_holds_the_words_of_one_operator():
+    model, severe = pieces.PieceModel(), toxicity.OrdinalModel({"bad": 1.0}, [0.5])
+    hold(model)
+    ids = model.encode(["some words of a text"])[0].tolist()
+    hold(model)
+    assert len(model.code) == 5
+    hold(severe.words())
+    assert not model.code and not model.used
+    assert severe.scores(["bad words"]).tolist() == [50.0] and len(severe.words()) == 2
+    hold(None)
+    assert not severe.words() and severe.scores(["bad words"]).tolist() == [50.0]
+    assert model.encode(["some words of a text"])[0].tolist() == ids
