@@ -7,10 +7,10 @@ import re
 from collections.abc import Iterator
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.storage import shared_dir, written
+from gleaner.storage import shared_dir, small_batches, written
 
 __all__ = ["PIECE_CHARS", "WORD", "col", "fresh", "hold", "pieces", "shared_dir", "small_batches", "words", "written"]
 
@@ -18,8 +18,6 @@ WORD = re.compile(r"[^\W_]+")
 #: Longer texts are tokenised in pieces of about this many characters, so that the tokens of
 #: one text never stand in memory at once. Every piece is used.
 PIECE_CHARS = 1 << 20
-#: Bytes of an Arrow batch, but for one row that is longer.
-BATCH_BYTES = "2m"
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -40,13 +38,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of a session by bytes, unless it has a bound: 10,000 texts a batch, Spark's own bound, stand in the
-    executor and in the worker several times at once, and what they take is kept. It holds where a table is planned, so the setting stays."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-
-
 class _Cache(Protocol):
     def clear(self) -> None: ...
 

@@ -343,3 +343,35 @@ def test_an_entry_without_vectors_is_found_by_meaning(spark, tmp_path):
     assert out.layers[-3:] == ["vec", "promoted", "delta"]
     assert out.results.first()["source_path"] == "b.txt"
     assert "delta" not in index.search_with_outcome("feline animals", SearchOptions(allow_delta_fallback=False)).layers
+
+
+def test_slices_hold_every_row_within_the_bound():
+    import pyarrow as pa
+
+    from gleaner.storage import slices
+
+    texts = ["ab", None, "c" * 50, "", "déf", "g" * 9] * 20
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + len(texts))), pa.array(texts)], names=["id", "text"]) for k in (0, 1000)]
+    made = list(slices(iter(batches), 1, 16))
+    assert [r for b in made for r in b.to_pylist()] == [r for b in batches for r in b.to_pylist()]
+    assert all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column(1).to_pylist()) <= 16 for b in made)
+    assert not list(slices(iter([batches[0].slice(0, 0)]), 1))
+
+
+def test_what_a_scan_makes_of_a_batch_is_bounded(spark, texts, monkeypatch):
+    """A worker of a scan, of postings and of chunks hands on the rows of a slice, not of a whole batch."""
+    import pyarrow as pa
+    from pyspark.sql import DataFrame
+
+    from gleaner.operators import chunking, lexical
+
+    sizes, batch = [], pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["p"] * 40), pa.array(["word " * 20_000] * 40)], names=["wal_entry_id", "source_path", "content"])
+    run = lambda self, f, schema: sizes.append([b.num_rows for b in f(iter([batch]))]) or self
+    monkeypatch.setattr(DataFrame, "mapInArrow", run)
+    monkeypatch.setattr(type(texts(("p", "c"))), "mapInArrow", run)
+    monkeypatch.setattr(lexical, "written", lambda df, label: df)
+    docs = texts(("p", "c"))
+    chunking.chunks(docs)
+    lexical.postings(docs, keys=("wal_entry_id", "source_path"))
+    lexical.chunk_counts(docs, ["word"], "word")
+    assert len(sizes) == 3 and all(len(s) == 4 for s in sizes)
