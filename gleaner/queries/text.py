@@ -32,8 +32,9 @@ def subtokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subtoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select(F.explode(tx.subtoken_text(F.col("content"))).alias("term"))
-    return docs.groupBy("term").agg(F.count("*").alias("cf"))
+    """Words between spaces are counted first, and only different ones are cut into subtokens."""
+    words = documents(spark, sf_dir).select(F.explode(F.split("content", r"\s+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return words.select("n", F.explode(tx.subtoken_text(F.col("w"))).alias("term")).groupBy("term").agg(F.sum("n").alias("cf"))
 
 
 def dense_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
