@@ -375,3 +375,50 @@ def test_what_a_scan_makes_of_a_batch_is_bounded(spark, texts, monkeypatch):
     lexical.postings(docs, keys=("wal_entry_id", "source_path"))
     lexical.chunk_counts(docs, ["word"], "word")
     assert len(sizes) == 3 and all(len(s) == 4 for s in sizes)
+
+
+def test_postings_of_some_terms_are_those_of_all(spark, texts):
+    from gleaner.operators import chunking, lexical
+
+    docs = texts(("a", "parseHTTP the_Fast ünïcode the 12-x\n" * 40), ("b", None), ("c", ""), ("d", "the end of a::b/c.d"))
+    made, keys = chunking.chunks(docs), ("wal_entry_id", "chunk_id")
+    wanted = {"body": {"the", "none"}, "ident": {"the_fast"}, "subtoken": {"fast", "parse"}}
+    table, stats = lexical.term_postings(docs, wanted)
+    every = {f: lexical.postings(made, f, keys, "text").collect() for f in lexical.FIELDS}
+    assert sorted(map(tuple, table.collect())) == sorted((*r[:2], r["field"], r["term"], r["tf"], r["doc_len"]) for f, rows in every.items() for r in rows if r["term"] in wanted[f])
+    n = made.count()
+    assert {r["field"]: (r["n_docs"], round(r["mean_len"], 9)) for r in stats.collect()} == {f: (n, round(sum(r["tf"] for r in rows) / n, 9)) for f, rows in every.items()}
+
+
+def test_blocks_unpack_to_postings(spark, texts):
+    from gleaner.operators import chunking, lexical
+
+    made = chunking.chunks(texts(("a", "parseHTTP the_Fast ünïcode the 12-x\n" * 40), ("b", "the the"), ("c", "  ")))
+    blocks = lexical.posting_blocks(made)
+    got = sorted((r["field"], r["term"], r["wal_entry_id"], r["chunk_id"], r["tf"], r["doc_len"]) for r in lexical.unpacked(blocks).collect())
+    assert got == sorted((f, r["term"], r["wal_entry_id"], r["chunk_id"], r["tf"], r["doc_len"]) for f in lexical.FIELDS for r in lexical.postings(made, f, ("wal_entry_id", "chunk_id"), "text").collect())
+    assert all(r["tokens"] == sum(r["tfs"]) and r["bucket"] == lexical.term_bucket(r["term"]) for r in blocks.collect())
+    assert blocks.count() < len(got)
+
+
+def test_compaction_splits_what_is_over_a_files_size(spark, tmp_path, monkeypatch):
+    from gleaner.plans import search
+
+    index = search.Index(spark, str(tmp_path))
+    index.add_rows(spark.createDataFrame([(f"f{k}.txt", f"alpha{k} beta " * 50) for k in range(20)], "source_path string, content string"))
+    index.build_pending_shards()
+    before = sorted(map(str, index.postings().collect()))
+    monkeypatch.setattr(search, "FILE_BYTES", 500)
+    index.compact(1)
+    assert len(list(tmp_path.glob("chunks/v1/*.parquet"))) > 1
+    assert sorted(map(str, index.postings().collect())) == before
+
+
+def test_an_append_writes_and_shuffles_contents_once(spark, tmp_path):
+    from gleaner.plans.search import Index
+
+    index = Index(spark, str(tmp_path))
+    rows = spark.createDataFrame([("a.txt", "one", None, 3), ("b.txt", "two", None, 9)], "source_path string, content string, mtime timestamp, size bigint")
+    assert index.add_rows(rows).count() == 2 and index.add_rows(rows.where("source_path = 'a.txt'").drop("mtime", "size")).first()["wal_entry_id"] == 2
+    assert {r["source_path"]: (r["wal_entry_id"], r["size"]) for r in index.manifest().collect()} == {"a.txt": (2, 3), "b.txt": (index.entries().where("source_path = 'b.txt'").first()["wal_entry_id"], 9)}
+    assert not (tmp_path / "batches").exists()
